@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def texts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of a string column; nulls are empty."""
-    col = batch.column(column) if isinstance(column, str) else column
+    col = batch.column(column) if isinstance(column, str | int) else column
     if col.null_count:
         import pyarrow.compute as pc
 
