@@ -28,13 +28,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), vocab_path("word_bpe_49k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapatch.llm import simhash
+
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapatch.llm import topk
 
     return topk.search(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op9_topk": op9_topk}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op9_topk": op9_topk}
 ORACLE: dict[str, str] = {
     "op9_topk": """
         WITH v AS (
