@@ -40,7 +40,13 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op9_topk": op9_topk}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapatch.llm import minhash
+
+    return minhash.fingerprinted(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {
     "op9_topk": """
         WITH v AS (

@@ -211,3 +211,40 @@ def gathered(offs: np.ndarray, lens: np.ndarray) -> np.ndarray:
     step[0] = offs[0]
     step[ends[:-1]] = offs[1:] - offs[:-1] - lens[:-1] + 1
     return np.cumsum(step)
+
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, n: int):
+    """(row, hash) arrays of the runs of n words of each text, repeats included; a text with fewer words has one run, of all. n is 8 at most."""
+    from terrapatch.llm import common
+
+    carry, carry_row = np.zeros(0, np.uint64), -1
+    for rows, bounds in common.pieces(data, offs):
+        goes_on = bounds[-1] < offs[rows[-1] + 1]
+        part = lowered(data[bounds[0] : bounds[-1]])
+        start, end, seg = split_blank(part, bounds)
+        wh = word_hashes(part, start, end)
+        if carry_row == rows[0]:
+            wh, seg = np.concatenate([carry, wh]), np.concatenate([np.zeros(len(carry), np.int64), seg])
+        count = np.bincount(seg, minlength=len(rows))
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        runs = np.maximum(count - n + 1, 0)
+        head = gathered(first, runs)
+        h = np.zeros(len(head), np.uint64)
+        for k in range(n):
+            h += wh[head + k] * _ODD[k]
+        row = np.repeat(rows, runs)
+        few = (count > 0) & (count < n)
+        if goes_on:
+            few[-1] = False
+        if few.any():
+            few = np.flatnonzero(few)
+            g = count[few].astype(np.uint64) * _K3
+            for k in range(n - 1):
+                live = count[few] > k
+                g[live] += wh[first[few[live]] + k] * _ODD[k]
+            h, row = np.concatenate([h, g]), np.concatenate([row, rows[few]])
+        carry, carry_row = (wh[max(len(wh) - n + 1, int(first[-1])) :], rows[-1]) if goes_on else (wh[:0], -1)
+        yield row, mixed(h)
