@@ -34,6 +34,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from terrapatch.llm import toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held = common.crc_mod("doc_id", 4) == 2
+    field = toxicity.learned(docs, labels.where(~held))
+    out = toxicity.tagged(docs, field)
+    return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_spans")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapatch.llm import topk
 
@@ -46,7 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {
     "op9_topk": """
         WITH v AS (
