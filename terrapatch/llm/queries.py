@@ -46,6 +46,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_spans")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapatch.llm import suffixes
+
+    return suffixes.removed(common.table(spark, sf_dir, "documents"))
+
+
 def op7_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapatch.llm import sitetree
 
@@ -72,7 +78,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op7_sitetree": op7_sitetree, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_suffixes": op6_suffixes, "op7_sitetree": op7_sitetree, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {
     "op9_topk": """
         WITH v AS (
