@@ -22,6 +22,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from terrapatch.llm import lm
+
+    held = common.crc_mod("doc_id", 7) == 2
+    out = lm.scored(common.table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"), ~held)
+    return out.select("doc_id", held.alias("held_out"), *[F.col(c) for c in out.columns if c != "doc_id"])
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapatch.llm import packing
 
@@ -78,7 +88,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_suffixes": op6_suffixes, "op7_sitetree": op7_sitetree, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_lm": op2_lm, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_suffixes": op6_suffixes, "op7_sitetree": op7_sitetree, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {
     "op9_topk": """
         WITH v AS (
