@@ -22,6 +22,8 @@ from terrapatch.llm import common
 
 #: A branch goes if its importance is below this, on hosts with at least PAGES pages that have it.
 IMPORTANCE, PAGES = 0.15, 8
+#: Bytes of removed nodes up to which they are broadcast.
+BROADCAST = 8 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*)[^>]*+>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+[^>]*+)>?", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -123,7 +125,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-PARSED = "page_id long, url string, host string, blocks array<struct<path:string,text:string,kind:int,h:long>>, kids array<struct<path:string,h:long>>"
+PARSED = "page_id long, url string, host string, blocks array<struct<path:string,text:string,kind:int>>"
 
 
 def host(url: str | None) -> str:
@@ -133,40 +135,47 @@ def host(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame, id_column: str, url: str, html: str) -> DataFrame:
-    """Blocks of every page; content of dropped blocks is only a check sum."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("kind", pa.int32()), ("h", pa.int64())]))
-    seq = pa.list_(pa.struct([("path", pa.string()), ("h", pa.int64())]))
+    """Blocks of every page that were not given away."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("kind", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             ids, urls, pages_ = batch.columns
-            found, kids = [], []
-            for page in pages_.to_pylist():
-                rows = blocks(page or "")
-                found.append([{"path": p, "text": t if k else "", "kind": k, "h": zlib.crc32(t.encode("utf-8", "surrogatepass"))} for p, t, k in rows])
-                below: dict[str, int] = {}
-                for p, _, _ in rows:
-                    up, _, last = p.rpartition("/")
-                    below[up] = zlib.crc32(last.encode(), below.get(up, 0))
-                kids.append([{"path": p, "h": h} for p, h in below.items()])
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array([host(u) for u in urls.to_pylist()], pa.string()), pa.array(found, kind), pa.array(kids, seq)], names=["page_id", "url", "host", "blocks", "kids"])
+            found = [[{"path": p, "text": t, "kind": k} for p, t, k in blocks(page or "") if k] for page in pages_.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, urls, pa.array([host(u) for u in urls.to_pylist()], pa.string()), pa.array(found, kind)], names=["page_id", "url", "host", "blocks"])
 
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(run, PARSED)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, content, presentation): pages that have the node, and the entropies of its content and presentation over them, from 0 (all alike) to 1 (all different)."""
-    content = pages.select("host", "page_id", F.explode("blocks").alias("b")).groupBy("host", "page_id", "b.path").agg(F.sum(F.pmod(F.xxhash64("b.h"), F.lit(1 << 31))).alias("h"))
-    shown = pages.select("host", F.explode("kids").alias("b")).select("host", "b.path", "b.h")
+def nodes(pages: DataFrame, html: str, url: str) -> DataFrame:
+    """(host, path, shown, h): a row for each node of each page's tree of styles, with a check sum of its content (shown = 0) or of the sequence of its children (shown = 1)."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[str, str, int, int]] = []
+            for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                site = host(u)
+                below: dict[str, int] = {}
+                content: dict[str, int] = {}
+                for path, text, _ in blocks(page or ""):
+                    up, _, last = path.rpartition("/")
+                    below[up] = zlib.crc32(last.encode(), below.get(up, 0))
+                    content[path] = zlib.crc32(text.encode("utf-8", "surrogatepass"), content.get(path, 0))
+                out += [(site, p, 0, h) for p, h in content.items()] + [(site, p, 1, h) for p, h in below.items()]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "shown", "h"])
+
+    return pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, "host string, path string, shown int, h long")
 
-    def entropy(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy("host", "path", "h").agg(F.count("*").alias("c"))
-        m = F.sum("c")
-        return n.groupBy("host", "path").agg(m.alias(f"n_{name}"), F.when(m > 1, F.greatest(F.lit(0.0), 1 - F.sum(F.col("c") * F.ln("c")) / (m * F.ln(m)))).otherwise(1.0).alias(name))
 
-    both = entropy(content.drop("page_id"), "content").join(entropy(shown, "presentation"), ["host", "path"], "full")
-    return both.select("host", "path", F.greatest("n_content", "n_presentation").alias("pages"), "content", "presentation")
+def style_tree(found: DataFrame) -> DataFrame:
+    """(host, path, pages, content, presentation) from nodes: pages that have the node, and the entropies of its content and presentation over them, from 0 (all alike) to 1 (all different; null: it has none)."""
+    n = found.groupBy("host", "path", "shown", "h").agg(F.count("*").alias("c"))
+    m = F.sum("c")
+    each = n.groupBy("host", "path", "shown").agg(m.alias("m"), F.when(m > 1, F.greatest(F.lit(0.0), 1 - F.sum(F.col("c") * F.ln("c")) / (m * F.ln(m)))).otherwise(1.0).alias("e"))
+    of = lambda k: F.max(F.when(F.col("shown") == k, F.col("e")))
+    return each.groupBy("host", "path").agg(F.max("m").alias("pages"), of(0).alias("content"), of(1).alias("presentation"))
 
 
 def extracted(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -175,14 +184,16 @@ def extracted(pages: DataFrame, id_column: str = "page_id", url: str = "url", ht
     Where a page has an article (or main) element, its text is that of it, less the branches given away by tag or
     name; elsewhere it is that of all other blocks, less the branches of low importance on the host (unless none
     would be left). A null or empty page has an empty text; null URLs share the empty host; repeated rows repeat.
+    The nodes that go are broadcast if they are few, and joined by host otherwise.
     """
     common.small_batches(pages.sparkSession)
-    rows = common.written(parsed(pages, id_column, url, html), "site-pages")
-    tree = style_tree(rows)
-    low = (F.col("pages") >= PAGES) & (F.greatest(F.coalesce("content", F.lit(0.0)), F.when(F.col("content").isNull(), F.col("presentation")).otherwise(0.0)) < IMPORTANCE)
+    tree = style_tree(nodes(pages, html, url))
+    low = (F.col("pages") >= PAGES) & (F.coalesce("content", "presentation") < IMPORTANCE)
     # one row for each host: the nodes of its tree that go
     gone = common.written(tree.where(low).groupBy("host").agg(F.collect_set("path").alias("gone")), "site-gone")
-    out = rows.select("page_id", "url", "host", "blocks").join(gone.hint("shuffle_merge"), "host", "left")
+    size = gone.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "gone")) + 32)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST else gone.hint("shuffle_merge")
+    out = parsed(pages, id_column, url, html).join(gone, "host", "left")
     inside = F.filter("blocks", lambda b: b["kind"] == ARTICLE)
     free = F.filter("blocks", lambda b: b["kind"] == OPEN)
     kept = F.filter("blocks", lambda b: (b["kind"] == OPEN) & ~F.coalesce(F.array_contains(F.col("gone"), b["path"]), F.lit(False)))
