@@ -13,9 +13,10 @@ import base64
 import contextlib
 import gzip
 import hashlib
-import io
 import os
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
@@ -69,6 +70,16 @@ def record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A record as a gzip member of its own whose header says how long it is (the "sl" field), so that readers can step over it."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    size = 24 + len(body) + 8
+    if size >= 1 << 32 or len(data) >= 1 << 32:
+        return gzip.compress(data, 1)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list
@@ -92,7 +103,7 @@ class WarcWriter(DataSourceArrowWriter):
                     out, size = fs.open_output_stream(f"{folder}/{files[-1]}", compression=None), 0
                 data = record(row)
                 if self.zipped:
-                    data = gzip.compress(data, 1)
+                    data = member(data)
                 out.write(data)
                 size += len(data)
         if out:
@@ -165,7 +176,7 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.paths:
             with fs.open_input_file(path) as raw:
-                for row in self.records(raw, path.endswith(".gz")):
+                for row in self.members(raw) if path.endswith(".gz") else self.records(_Seekable(raw)):
                     rows.append(row)
                     size += len(row.get("payload") or b"")
                     if len(rows) >= 1000 or size > 8 << 20:
@@ -181,9 +192,22 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def records(self, raw, zipped: bool):
+    def members(self, raw):
+        """Rows of gzip members: of those that say how long they are no more is inflated than is looked at; from the first other one on, all."""
+        at, size = 0, raw.size()
+        while at < size:
+            raw.seek(at)
+            head = raw.read(24)
+            if head[3:4] != b"\x04" or head[12:14] != b"sl":
+                raw.seek(at)
+                yield from self.records(gzip.GzipFile(fileobj=raw))
+                return
+            length = struct.unpack("<I", head[16:20])[0]
+            yield from self.records(_Member(raw, length - 32))
+            at += length
+
+    def records(self, stream):
         """Rows of the records that pass; the blocks of others are stepped over, not read."""
-        stream = gzip.GzipFile(fileobj=raw) if zipped else io.BufferedReader(raw, 1 << 16) if isinstance(raw, io.RawIOBase) else _Seekable(raw)
         names = {h.lower(): n for n, h in HEADERS.items()}
         whole = "payload" in self.fields
         while True:
@@ -261,6 +285,41 @@ class _Seekable:
             self.raw.seek(self.raw.tell() + n - here)
 
 
+class _Member:
+    """Lines and bytes of one gzip member, inflated as far as they are asked for; what is stepped over is the rest of it."""
+
+    def __init__(self, raw, length: int):
+        self.raw, self.left, self.inflate, self.buf = raw, length, zlib.decompressobj(-15), b""
+
+    def more(self) -> bool:
+        data = self.inflate.unconsumed_tail
+        if not data and self.left > 0:
+            data = self.raw.read(min(self.left, 1 << 14))
+            self.left -= len(data)
+        out = self.inflate.decompress(data, 1 << 16) if data else b""
+        self.buf += out
+        return bool(data)
+
+    def readline(self) -> bytes:
+        while (end := self.buf.find(b"\n")) < 0 and self.more():
+            pass
+        out = self.buf[: end + 1] if end >= 0 else self.buf
+        self.buf = self.buf[len(out) :]
+        return out
+
+    def read(self, n: int) -> bytes:
+        parts = [self.buf[:n]]
+        self.buf, have = self.buf[n:], len(parts[0])
+        while have < n and self.more():
+            parts.append(self.buf[: n - have])
+            have += len(parts[-1])
+            self.buf = self.buf[len(parts[-1]) :]
+        return b"".join(parts)
+
+    def seek(self, n: int, whence: int) -> None:
+        self.buf, self.left, self.inflate = b"", 0, zlib.decompressobj(-15)
+
+
 class WarcSource(DataSource):
     """Options: path; zip ("true": each record is a gzip member of its own)."""
 
@@ -313,7 +372,7 @@ def archived(pages: DataFrame, path: str, id_column: str = "page_id", url: str =
         F.when(again, urn(F.col("first"))).alias("refers_to"),
         "payload",
     )
-    out.withColumn("payload_digest", base32(F.col("sha"))).select(*[c.split()[0] for c in WRITE.split(", ")]).write.format("warc").mode("append").save(path)
+    out.withColumn("payload_digest", base32(F.col("sha"))).select(*[c.split()[0] for c in WRITE.split(", ")]).write.format("warc").option("zip", "true").mode("append").save(path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
