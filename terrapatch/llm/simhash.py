@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapatch.llm import common, graph, words
 
@@ -182,6 +183,13 @@ def _search(fp: np.ndarray, probe: np.ndarray, i: int):
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
 
 
+def components(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp and other columns) with the root of their component."""
+    distinct = common.written(distinct, "simhash-distinct")
+    members = graph.components(links(distinct.select("fp")), "a", "b")  # node, root
+    return distinct.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id of every document; fingerprints at a distance of at most 4 are linked.
 
@@ -192,11 +200,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     common.small_batches(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column))
     prints = common.written(rows.mapInArrow(lambda b: fingerprints(b, 1, n), "doc_id long, fp long"), "simhash-prints")
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = links(distinct.select("fp"))
-    members = graph.components(edges, "a", "b")  # node, root
-    classes = distinct.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = components(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = common.written(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-classes")
     out = prints.join(classes.hint("shuffle_merge"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = SHINGLE) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest id (null ids last; of repeated ids, any one)."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    names = [*docs.columns, "tp_fp"]
+    where, schema = docs.columns.index(column), T.StructType([*docs.schema]).add("tp_fp", "long")
+
+    def run(batches):
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([batch.column(where), batch.column(where)], names=["a", "b"])
+            print_ = next(fingerprints(iter([part]), 1, n)).column(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, print_], names=names)
+
+    rows = common.written(docs.mapInArrow(run, schema).withColumn("tp_uid", F.monotonically_increasing_id()), "simhash-rows")
+    name = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("tp_uid").alias("uid"))
+    classes = components(rows.groupBy(F.col("tp_fp").alias("fp")).agg(F.min(name).alias("least")))
+    keep = common.written(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("tp_uid")), "simhash-kept")
+    return rows.join(keep.hint("shuffle_merge"), "tp_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ LENGTH = 200
 #: Bytes of a sample string, sample strings in a window, and windows of a part.
 SAMPLE = 32
 SPAN = LENGTH - SAMPLE + 1
-STEP = 16
+STEP = 32
 #: Windows of a text that are worked on at once.
 PIECE = 4_000_000
 _R = 0xD1342543DE82EF95
@@ -157,11 +157,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     met = asked.hint("shuffle_merge").join(_zipped(docs), "k").dropDuplicates(["k"])
 
     def cut(batches):
-        kind = pa.list_(pa.int64())
         for b in batches:
             for r in range(b.num_rows):
                 q, size, z = b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].as_py()
-                hashes = Hashes(np.frombuffer(_unzipped(size, z), np.uint8))
+                text = _unzipped(size, z)
+                hashes = Hashes(np.frombuffer(text, np.uint8))
                 at = np.array([x["at"] for x in q], np.int64)
                 s, n, o = at >> 16, at >> 8 & 255, at & 255
                 # offsets of a context's windows to the sample: from o down to o - n + 1; part p has offsets p * STEP ... + STEP - 1
@@ -170,36 +170,34 @@ def repeated(docs: DataFrame) -> DataFrame:
                 p = low[who] + np.arange(len(who)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
                 sample = (s + o)[who]
                 top, bottom = np.minimum(o[who], p * STEP + STEP - 1), np.maximum((o - n + 1)[who], p * STEP)
-                core = hashes.of(sample - p * STEP, sample - p * STEP - STEP + 1 + LENGTH)
-                whole_part = hashes.of(sample - top, sample - bottom + LENGTH) + top.astype(np.uint64) * np.uint64(31) + bottom.astype(np.uint64)
-                count = top - bottom + 1
-                w = words.gathered(sample - top, count)
-                each = hashes.of(w, w + LENGTH).view(np.int64)
-                edges = np.concatenate([[0], np.cumsum(count)])
+                begin, end = sample - p * STEP, sample - p * STEP - STEP + 1 + LENGTH
+                core = hashes.of(begin, end)
+                left = [text[x:y] for x, y in zip((sample - top).tolist(), begin.tolist(), strict=True)]
+                right = [text[x:y] for x, y in zip(end.tolist(), (sample - bottom + LENGTH).tolist(), strict=True)]
+                c = np.array([x["c"] for x in q], np.int64)[who]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([q[i]["anchor"] for i in who], pa.int64()),
-                        pa.array(p, pa.int32()),
-                        pa.array(core.view(np.int64)),
-                        pa.array(whole_part.view(np.int64)),
-                        pa.array([q[i]["c"] for i in who], pa.int64()),
-                        pa.array(np.full(len(who), b.column(0)[r].as_py()), pa.int64()),
-                        pa.array(sample - top),
-                        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(each)).cast(kind),
-                    ],
-                    names=["anchor", "part", "core", "hash", "c", "k", "first", "windows"],
+                    [pa.array(np.array([x["anchor"] for x in q], np.int64)[who]), pa.array(p, pa.int32()), pa.array(core.view(np.int64)), pa.array(c > 1), pa.array(np.full(len(who), b.column(0)[r].as_py())), pa.array(sample - top), pa.array(top - bottom + 1, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["anchor", "part", "core", "again", "k", "first", "n", "left", "right"],
                 )
 
-    parts = common.written(met.select("k", "q", "size", "z").mapInArrow(cut, "anchor long, part int, core long, hash long, c long, k long, first long, windows array<long>"), "suffix-parts")
+    # a part's windows hold its core; the j-th has the last bytes of `left` and the first of `right` besides
+    parts = common.written(met.select("k", "q", "size", "z").mapInArrow(cut, "anchor long, part int, core long, again boolean, k long, first long, n int, left binary, right binary"), "suffix-parts")
     key = ["anchor", "part", "core"]
-    cores = common.written(parts.groupBy(*key).agg(F.count("*").alias("n"), F.min("hash").alias("x"), F.max("hash").alias("y")).where("n > 1").withColumn("mixed", F.col("x") != F.col("y")).select(*key, "mixed"), "suffix-cores")
-    some = parts.where("c = 1").join(cores.where("NOT mixed").hint("shuffle_merge"), key)
-    equal = some.select("k", F.struct(F.col("first").alias("a"), (F.col("first") + F.size("windows") - 1 + LENGTH).alias("b")).alias("span"))
-    edge = parts.join(cores.where("mixed").hint("shuffle_merge"), key).select(*key[:2], "c", "k", "first", F.posexplode("windows").alias("i", "w"))
+    whole_part = F.xxhash64("left", "right", F.col("n"))
+    cores = parts.groupBy(*key).agg(F.count("*").alias("times"), F.min(whole_part).alias("x"), F.max(whole_part).alias("y")).where("times > 1").select(*key, (F.col("x") != F.col("y")).alias("mixed"))
+    shared = common.written(parts.join(common.written(cores, "suffix-cores").hint("shuffle_merge"), key), "suffix-shared")
+    equal = shared.where("NOT mixed AND NOT again").select("k", F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("b")).alias("span"))
+    size = F.length("left")
+    i = F.col("i").cast("int")
+    # windows of differing parts, by what they have besides the core: how much to the left, and the bytes
+    edge = shared.where("mixed").select(*key, "again", "k", "first", "n", "left", "right", F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("i", "nth"))
+    over = F.length("right") - (F.col("n") - 1 - i)
+    edge = edge.select(*key, "again", "k", (F.col("first") + i).alias("first"), (size - i).alias("reach"), F.xxhash64(F.expr("substring(left, i + 1, length(left))"), F.expr("substring(right, 1, length(right) - (n - 1 - i))"), size - i, over).alias("w"))
     edge = common.written(edge, "suffix-edges")
-    twice = common.written(edge.groupBy("anchor", "part", "w").agg(F.sum("c").alias("n")).where("n > 1").select("anchor", "part", "w"), "suffix-twice")
-    found = edge.where("c = 1").join(twice.hint("shuffle_merge"), ["anchor", "part", "w"])
-    single = found.select("k", F.struct((F.col("first") + F.col("i")).alias("a"), (F.col("first") + F.col("i") + LENGTH).alias("b")).alias("span"))
+    name = [*key, "reach", "w"]
+    twice = common.written(edge.groupBy(*name).agg(F.count("*").alias("times"), F.max("again").alias("again")).where("times > 1 OR again").select(*name), "suffix-twice")
+    found = edge.where("NOT again").join(twice.hint("shuffle_merge"), name)
+    single = found.select("k", F.struct(F.col("first").alias("a"), (F.col("first") + LENGTH).alias("b")).alias("span"))
     return whole.unionByName(equal).unionByName(single).groupBy("k").agg(F.collect_list("span").alias("spans"))
 
 
@@ -214,39 +212,71 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def removed(docs: DataFrame, id_column: str = "doc_id", column: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with keep, also h and the kept text (bytes that are no longer UTF-8 replaced).
+def _joined(docs: DataFrame, id_column: str, column: str) -> DataFrame:
+    """The rows, their text compressed (tp_size, tp_z) and with its repeated ranges (tp_spans)."""
+    rows = docs.withColumn("tp_k", F.xxhash64(F.col(id_column).cast("long"), F.coalesce(F.col(column), F.lit(""))))
+    spans = repeated(rows.select(F.col("tp_k").alias("k"), F.coalesce(F.col(column), F.lit("")).alias("text")))
+    others = [c for c in docs.columns if c != column]
+    kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "tp_k long, tp_size long, tp_z binary, tp_null boolean"])
+
+    def run(batches):
+        for b in batches:
+            t = b.column(b.num_columns - 1)
+            size = pa.array([x.as_buffer().size if x.is_valid else 0 for x in t], pa.int64())
+            z = pa.array([pa.compress(x.as_buffer(), "zstd", asbytes=True) if x.is_valid else b"" for x in t], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, z, t.is_null()], names=[*others, "tp_k", "tp_size", "tp_z", "tp_null"])
+
+    zipped = rows.select(*[F.col(f"`{c}`") for c in others], "tp_k", F.col(column)).mapInArrow(run, kind)
+    return zipped.join(spans.select(F.col("k").alias("tp_k"), F.col("spans").alias("tp_spans")).hint("shuffle_merge"), "tp_k", "left").drop("tp_k")
+
+
+def _kept(size: int, z: bytes, spans: list | None) -> tuple[bytes, int]:
+    """What is left of a text, and the number of its removed runs."""
+    text, at, left = _unzipped(size, z), 0, []
+    cuts = merged(spans or [])
+    for x, y in cuts:
+        left.append(text[at:x])
+        at = y
+    left.append(text[at:])
+    return b"".join(left), len(cuts)
+
+
+def removed(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     Null texts are empty and texts below LENGTH bytes lose nothing; repeated rows lose all if they are longer.
     Strings are judged on the input. An empty table gives no rows. Other columns are not read.
     """
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated(rows)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"))
 
     def run(batches):
         for b in batches:
-            ids, sizes, zs, found = (c.to_pylist() for c in b.columns)
             out = []
-            for i, size, z, span in zip(ids, sizes, zs, found, strict=True):
-                text, at, left = _unzipped(size, z), 0, []
-                cuts = merged(span or [])
-                for x, y in cuts:
-                    left.append(text[at:x])
-                    at = y
-                left.append(text[at:])
-                kept = b"".join(left)
-                out.append((i, size, size - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    def zip_rows(batches):
-        for b in batches:
-            t = b.column(2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.as_buffer().size if x.is_valid else 0 for x in t], pa.int64()), pa.array([pa.compress(x.as_buffer(), "zstd", asbytes=True) if x.is_valid else b"" for x in t], pa.binary())], names=["k", "doc_id", "size", "z"])
+            for i, size, z, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                kept, n = _kept(size, z, spans)
+                out.append((i, size, size - len(kept), n, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = _joined(rows, "doc_id", "text").select("doc_id", "tp_size", "tp_z", "tp_spans")
+    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-    texts = rows.select("k", "doc_id", "text").mapInArrow(zip_rows, "k long, doc_id long, size long, z binary")
-    out = texts.join(spans.hint("shuffle_merge"), "k", "left").select("doc_id", "size", "z", "spans")
-    out = out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out if keep else out.drop("kept")
+
+def cleaned(docs: DataFrame, id_column: str = "doc_id", column: str = "text", count: str = "n_chars") -> DataFrame:
+    """The rows of docs with the repeated passages cut out of the text (and parts of characters at the cuts); `count`, if there is such a column, follows the text. Null texts stay null."""
+    common.small_batches(docs.sparkSession)
+    rows = _joined(docs, id_column, column)
+    names = docs.columns
+    others = [c for c in names if c != column]
+
+    def run(batches):
+        for b in batches:
+            size, z, null, spans = (b.column(len(others) + k).to_pylist() for k in range(4))
+            text = [None if none else _kept(s, y, p)[0].decode("utf-8", "ignore") for s, y, none, p in zip(size, z, null, spans, strict=True)]
+            by = dict(zip(others, b.columns, strict=False)) | {column: pa.array(text, pa.string())}
+            if count in by and count != column:
+                by[count] = pa.array([None if t is None else len(t) for t in text], by[count].type)
+            yield pa.RecordBatch.from_arrays([by[c] for c in names], names=names)
+
+    return rows.select(*[F.col(f"`{c}`") for c in others], "tp_size", "tp_z", "tp_null", "tp_spans").mapInArrow(run, docs.schema)

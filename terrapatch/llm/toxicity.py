@@ -303,3 +303,16 @@ def tagged(docs: DataFrame, field: Field, id_column: str = "doc_id", column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array([len(x) for x in spans], pa.int64()), pa.array([[{k: y[k] for k in ("start", "end", "marginal")} for y in x] for x in spans], kind)], names=["doc_id", "score", "n_spans", "spans"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column)).mapInArrow(run, TAGGED)
+
+
+def below(docs: DataFrame, field: Field, at: float, column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below `at`."""
+    common.small_batches(docs.sparkSession)
+    where = docs.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            data, offs = common.texts(batch, where)
+            yield batch.filter(pa.array(score(field, data, offs)[0] < at))
+
+    return docs.mapInArrow(run, docs.schema)
