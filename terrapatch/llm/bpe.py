@@ -329,8 +329,11 @@ def compile_lexicon(found: list[bytes], vocab: Vocabulary, path: str) -> int:
     data = np.frombuffer(b"".join(found), np.uint8)
     ends = np.cumsum([len(w) for w in found], dtype=np.int64) if found else np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]]) if found else ends
-    ids, sizes = vocab.merge(data, starts, ends)
-    Lexicon.write(path, {"final": final, "check": check, "target": target, "number": number, "offset": np.concatenate([[0], np.cumsum(sizes)]), "ids": ids})
+    a, b = words.split_bytelevel(data, np.append(starts, len(data)))  # a word may be several to the tokenizer
+    ids, each = vocab.merge(data, a, b)
+    upto = np.concatenate([[0], np.cumsum(each)])
+    offset = upto[np.searchsorted(a, np.append(starts, len(data)))]
+    Lexicon.write(path, {"final": final, "check": check, "target": target, "number": number, "offset": offset, "ids": ids})
     return n
 
 
