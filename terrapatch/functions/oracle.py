@@ -53,8 +53,8 @@ def _closure(name: str, table: str, eight: bool) -> str:
         GROUP BY c.k, c.row, c.col, c.cv)"""
 
 
-def patches(select: str, eight: bool = True, by_grid: bool = True, source=None, cores: bool = False, enn: bool = False) -> str:
-    """`select` over patches (k, cv, root, n, ns, ew, core, cores, enn), with key columns k1, k2, ... of each k."""
+def patches(select: str, eight: bool = True, by_grid: bool = True, source=None, cores: bool = False, enn: bool = False, merge: bool = True) -> str:
+    """`select` over patches (k, cv, root, n, ns, ew, core, cores, enn), with key columns k1, k2, ... of each k. Without merge a class is taken as one patch, for metrics that only add up."""
     values, rows = source or (TILED if by_grid else PLAIN)
     keys = ", ".join(f"{v} AS k{i}" for i, v in enumerate(values, 1))
     names = [f"k{i}" for i in range(1, len(values) + 1)]
@@ -63,7 +63,7 @@ def patches(select: str, eight: bool = True, by_grid: bool = True, source=None,
     beside = lambda dr, dc, i: f"LEFT JOIN cells n{i} ON n{i}.k = a.k AND n{i}.row = a.row + {dr} AND n{i}.col = a.col + {dc}"
     other = lambda i: f"CAST(n{i}.cv IS DISTINCT FROM a.cv AS INTEGER)"
     parts.append("sides AS (SELECT a.k, a.row, a.col, a.cv, " + f"{other(1)} + {other(2)} AS ns, {other(3)} + {other(4)} AS ew FROM cells a " + " ".join(beside(dr, dc, i) for i, (dr, dc) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1)), 1)) + ")")
-    parts.append(_closure("lab", "cells", eight))
+    parts.append(_closure("lab", "cells", eight) if merge else "lab AS (SELECT k, row, col, cv, 0 AS root FROM cells)")
     parts.append("base AS (SELECT s.k, s.cv, l.root, count(*) AS n, CAST(sum(ns) AS BIGINT) AS ns, CAST(sum(ew) AS BIGINT) AS ew, count(*) FILTER (ns + ew = 0) AS core FROM sides s JOIN lab l USING (k, row, col) GROUP BY ALL)")
     if cores:
         parts.append("corecells AS (SELECT k, row, col, cv FROM sides WHERE ns + ew = 0)")
@@ -142,6 +142,10 @@ def patch_frame(names) -> str:
     return patches(f"SELECT k AS grid_cell, row_number() OVER (PARTITION BY k ORDER BY cv, root) - 1 AS patch_id, cv AS class_val, {cols} FROM patches", cores="number_of_core_areas" in names, enn="euclidean_nearest_neighbor" in names)
 
 
+#: Metrics that do not depend on how a class is cut into patches.
+ADDITIVE = {"total_area", "proportion_of_landscape", "total_edge", "edge_density", "landscape_shape_index", *settings.ENTROPIES}
+
+
 def _frame(names, source, keys, by_class: bool, boundary: bool) -> str:
     group = "k, cv" if by_class else "k"
     on = "USING (k, cv)" if by_class else "USING (k)"
@@ -168,7 +172,7 @@ def _frame(names, source, keys, by_class: bool, boundary: bool) -> str:
         joins.append(f"LEFT JOIN (SELECT k, {', '.join(_round(m, f'CASE WHEN m > 1 THEN {sql[m]} END') for m in ent)} FROM {joint} JOIN {own_} USING (k) JOIN (SELECT k, count(DISTINCT cv) AS m FROM cells GROUP BY k) USING (k)) d USING (k)")
     out = ", ".join([*(f"names.k{i} AS {k}" for i, k in enumerate(keys, 1)), *(["cv AS class_val"] if by_class else []), *names])
     select = f"SELECT {out} FROM {' '.join(joins)} JOIN names USING (k)"
-    return patches(select, source=source, cores=bool(dcore) or any("disjunct" in m for m in names), enn=any(m.startswith("euclidean") for m in names))
+    return patches(select, source=source, cores=bool(dcore) or any("disjunct" in m for m in names), enn=any(m.startswith("euclidean") for m in names), merge=not ADDITIVE.issuperset(names))
 
 
 def class_frame(names, source=None, keys=("grid_cell",), boundary: bool = False) -> str:
