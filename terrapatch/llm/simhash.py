@@ -50,13 +50,13 @@ def shingle_bounds(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[bytes,
     return joined.tobytes(), at[head] if len(head) else head, (at + size)[tail] if len(head) else head, of, count
 
 
-def fingerprints(batches, column: int = 1, n: int = SHINGLE):
-    """Rows (id, fingerprint as signed 64 bits) of batches (id, text)."""
+def fingerprints(batches, column: int = 1, n: int = SHINGLE, views: int = 1):
+    """Rows (id, fingerprint as signed 64 bits) of batches (id, text); further views are fingerprints of the same shingles, hashed anew from their hashes."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         data, offs = common.texts(batch, column)
         rows = len(offs) - 1
-        ones, total = np.zeros((rows, 64), np.int64), np.zeros(rows, np.int64)
+        ones, total = np.zeros((views, rows, 64), np.int64), np.zeros(rows, np.int64)
         carry, carry_row = b"", -1
         for seg_rows, bounds in common.pieces(data, offs):
             goes_on = bounds[-1] < offs[seg_rows[-1] + 1]
@@ -73,19 +73,20 @@ def fingerprints(batches, column: int = 1, n: int = SHINGLE):
                 a, b, of = a[keep], b[keep], of[keep]
             h = np.array([digest(joined[x:y], SEED) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
             if len(h):
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                sums = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
                 row = seg_rows[of[heads]]
-                ones[row] += sums
+                for view in range(views):
+                    seen = words.mixed(h + np.uint64(view)) if view else h
+                    bits = np.unpackbits(seen.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones[view, row] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
                 total[row] += np.diff(np.append(heads, len(of)))
             # the last n - 1 words begin shingles that end in the next piece of a long text
             take = min(n - 1, int(count[-1])) if goes_on else 0
             carry, carry_row = (joined[:-1].rsplit(b" ", take)[-take:], int(seg_rows[-1])) if take else ([], -1)
             carry = b" ".join(carry)
-        mark = (2 * ones > total[:, None]).astype(np.uint8)
-        value = np.packbits(mark, axis=1, bitorder="little").view("<u8")[:, 0] if rows else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.view(np.int64))], names=["doc_id", "fp"])
+        mark = (2 * ones > total[None, :, None]).astype(np.uint8)
+        value = np.packbits(mark, axis=2, bitorder="little").view("<u8")[:, :, 0] if rows else np.zeros((views, 0), np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v.view(np.int64)) for v in value)], names=["doc_id", "fp", *(f"fp_{k}" for k in range(1, views))])
 
 
 def _ring(x):
@@ -207,21 +208,39 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = SHINGLE) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id (null ids last; of repeated ids, any one)."""
+#: Of the corpus pipeline: words of a shingle and views. Four bits of one fingerprint over longer shingles miss most copies that are as little as 0.8 alike on five words; these find them, and hardly any others (see the README).
+COPY_SHINGLE, COPY_VIEWS = 2, 3
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = COPY_SHINGLE, views: int = COPY_VIEWS) -> DataFrame:
+    """One row, with all its columns, of each group: that of the smallest id (null ids last; of repeated ids, any one). Documents are in a group if fingerprints of one view link them."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    names = [*docs.columns, "tp_fp"]
-    where, schema = docs.columns.index(column), T.StructType([*docs.schema]).add("tp_fp", "long")
+    prints = [f"tp_fp{k}" for k in range(views)]
+    names = [*docs.columns, *prints]
+    where, schema = docs.columns.index(column), T.StructType([*docs.schema])
+    for c in prints:
+        schema = schema.add(c, "long")
 
     def run(batches):
         for batch in batches:
             part = pa.RecordBatch.from_arrays([batch.column(where), batch.column(where)], names=["a", "b"])
-            print_ = next(fingerprints(iter([part]), 1, n)).column(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, print_], names=names)
+            found = next(fingerprints(iter([part]), 1, n, views)).columns[1:]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=names)
 
     rows = common.written(docs.mapInArrow(run, schema).withColumn("tp_uid", F.monotonically_increasing_id()), "simhash-rows")
     name = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("tp_uid").alias("uid"))
-    classes = components(rows.groupBy(F.col("tp_fp").alias("fp")).agg(F.min(name).alias("least")))
-    keep = common.written(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("tp_uid")), "simhash-kept")
+    nodes = rows.groupBy(*prints).agg(F.min(name).alias("least")).withColumn("node", F.xxhash64(*prints))
+    nodes = common.written(nodes, "simhash-nodes")
+    # each node is joined with its component in every view; nodes that share one are a group
+    edges = None
+    for view, c in enumerate(prints):
+        classes = common.written(components(nodes.select(F.col(c).alias("fp")).distinct()).select(F.col("fp").alias(c), "root"), "simhash-classes")
+        sizes = nodes.join(classes.hint("shuffle_merge"), c).select("node", F.xxhash64("root", F.lit(view)).alias("group"))
+        edges = sizes if edges is None else edges.unionByName(sizes)
+    edges = common.written(edges, "simhash-groups")
+    shared = common.written(edges.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "simhash-shared")
+    linked_ = graph.components(edges.join(shared.hint("shuffle_merge"), "group"), "node", "group").select("node", "root")
+    keep = nodes.join(linked_.hint("shuffle_merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    keep = common.written(keep.select(F.col("least.uid").alias("tp_uid")), "simhash-kept")
     return rows.join(keep.hint("shuffle_merge"), "tp_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
