@@ -10,7 +10,7 @@ from terrapatch.llm import common, queries, toxicity
 
 from .conftest import frame, passage
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def enumerated(theta, emit_at, n):
@@ -80,14 +80,17 @@ def scored(spark):
     return queries.op5_toxicity(spark, SF).toPandas()
 
 
-def test_held_out_documents_are_told_apart(spark, scored):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
-    assert len(scored) == spark.read.parquet(f"{SF}/documents.parquet").count()
-    both = scored.merge(labels, on="doc_id")
+def test_held_out_documents_are_told_apart(spark):
+    """On 990 held-out rows; the smaller tables hold too few toxic rows to learn from."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    both = queries.op5_toxicity(spark, LARGER).toPandas().merge(labels, on="doc_id")
     held = both[both["held_out"]]
-    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.9
-    wrong = (held["predicted"] != held["toxic"]).mean()
-    assert wrong < 0.1
+    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.95
+    assert (held["predicted"] != held["toxic"]).mean() < 0.02
+
+
+def test_scores_and_predictions(spark, scored):
+    assert len(scored) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert ((scored["score"] >= 0) & (scored["score"] <= 1)).all()
     assert ((scored["score"] >= 0.3).astype(int) == scored["predicted"]).all()
 
