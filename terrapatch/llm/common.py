@@ -43,7 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tp_path = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete what written() wrote. Only for tables that no later plan reads: those made of them have been written themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.tp_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:

@@ -145,6 +145,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     seen = common.written(docs.select("k", "text").mapInArrow(scan, "k long, anchor long, ctx long, at long"), "suffix-samples")
     live = common.written(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-live")
     held = common.written(seen.join(live.hint("shuffle_merge"), "anchor"), "suffix-held")
+    common.forgotten(seen, live)
     known = common.written(held.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("k", "at")).alias("one")), "suffix-contexts")
     # contexts that occur again are repeated whole
     again = held.join(known.where("c > 1").select("anchor", "ctx").hint("shuffle_merge"), ["anchor", "ctx"])
@@ -185,7 +186,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     key = ["anchor", "part", "core"]
     whole_part = F.xxhash64("left", "right", F.col("n"))
     cores = parts.groupBy(*key).agg(F.count("*").alias("times"), F.min(whole_part).alias("x"), F.max(whole_part).alias("y")).where("times > 1").select(*key, (F.col("x") != F.col("y")).alias("mixed"))
-    shared = common.written(parts.join(common.written(cores, "suffix-cores").hint("shuffle_merge"), key), "suffix-shared")
+    cores = common.written(cores, "suffix-cores")
+    shared = common.written(parts.join(cores.hint("shuffle_merge"), key), "suffix-shared")
+    common.forgotten(parts, cores)
     equal = shared.where("NOT mixed AND NOT again").select("k", F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("b")).alias("span"))
     size = F.length("left")
     i = F.col("i").cast("int")
