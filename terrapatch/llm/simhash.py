@@ -30,6 +30,8 @@ SEED = 42
 #: First bit and width of each segment.
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
+#: Keys hold two segments of 13 bits, the number of the first in three more, and from this bit on the view.
+VIEW = 29
 #: Members of one key that one task holds; a larger key is dealt out in blocks that meet in pairs.
 KEY_BLOCK = 2048
 
@@ -109,17 +111,22 @@ def linked(one: np.ndarray, many: np.ndarray, i: int) -> np.ndarray:
 
 def links(prints: DataFrame, column: str = "fp") -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the budget: enough of them to connect all that such pairs connect."""
+    return links_of_views(prints.select(F.lit(0).alias("view"), F.col(column).alias("fp"))).select("a", "b")
+
+
+def links_of_views(prints: DataFrame) -> DataFrame:
+    """Links (view, a, b) of distinct fingerprints (view, fp), those of each view on their own."""
     keys, probes = [], []
-    fp = F.col(column)
+    fp = F.col("fp")
     for i in range(len(WIDTHS)):
         j = (i + 1) % len(WIDTHS)
         seg = [F.shiftrightunsigned(fp, STARTS[k]).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1)) for k in (i, j)]
-        key = F.shiftleft(seg[0], 13).bitwiseOR(seg[1]).bitwiseOR(F.lit(i << 26))
+        key = F.shiftleft(seg[0], 13).bitwiseOR(seg[1]).bitwiseOR(F.lit(i << VIEW - 3)).bitwiseOR(F.shiftleft(F.col("view").cast("long"), VIEW))
         keys.append(F.struct(key.alias("key"), F.lit(0).alias("probe"), F.lit(i).alias("i")))
         for b in range(WIDTHS[j]):
             bit = F.shiftrightunsigned(seg[1], b).bitwiseAND(F.lit(1))
             probes.append(F.when(bit == 1, F.struct((key - F.lit(1 << b)).alias("key"), F.lit(1).alias("probe"), F.lit(i).alias("i"))))
-    rows = prints.select(fp.alias("fp"), F.explode(F.array_compact(F.array(*keys, *probes))).alias("k")).select("fp", "k.key", "k.probe", "k.i")
+    rows = prints.select("fp", F.explode(F.array_compact(F.array(*keys, *probes))).alias("k")).select("fp", "k.key", "k.probe", "k.i")
     rows = common.written(rows, "simhash-keys")
     # keys of one member link nothing, and large ones are dealt out in blocks
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.lit(1) - F.col("probe")).alias("own")).where("n > 1 AND own > 0")
@@ -135,16 +142,18 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
     dealt = cells.repartition(int(n), "key", "cell").sortWithinPartitions("key", "cell")
 
     def run(batches):
-        for key_rows in _groups(batches):
+        for view, *key_rows in _groups(batches):
             out = _search(*key_rows)
             if out is not None:
-                yield out
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, view, np.int32)), *out.columns], names=["view", "a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    out = common.written(dealt.mapInArrow(run, "view int, a long, b long").distinct(), "simhash-links")
+    common.forgotten(rows, sizes)
+    return out
 
 
 def _groups(batches):
-    """(fingerprints, whether each is a probe, segment) of each key and cell of sorted rows."""
+    """(view, fingerprints, whether each is a probe, segment) of each key and cell of sorted rows."""
     rest = None
     for batch in batches:
         cols = [batch.column(k).to_numpy() for k in range(5)]
@@ -154,10 +163,10 @@ def _groups(batches):
         new = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
         edges = np.concatenate([[0], new])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield cols[0][a:b], cols[2][a:b], int(cols[3][a])
+            yield int(key[a]) >> VIEW, cols[0][a:b], cols[2][a:b], int(cols[3][a])
         rest = [x[edges[-1] :] for x in cols] if len(key) else None
     if rest is not None and len(rest[0]):
-        yield rest[0], rest[2], int(rest[3][0])
+        yield int(rest[1][0]) >> VIEW, rest[0], rest[2], int(rest[3][0])
 
 
 def _search(fp: np.ndarray, probe: np.ndarray, i: int):
@@ -232,15 +241,15 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     name = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("tp_uid").alias("uid"))
     nodes = rows.groupBy(*prints).agg(F.min(name).alias("least")).withColumn("node", F.xxhash64(*prints))
     nodes = common.written(nodes, "simhash-nodes")
-    # each node is joined with its component in every view; nodes that share one are a group
-    edges = None
-    for view, c in enumerate(prints):
-        classes = common.written(components(nodes.select(F.col(c).alias("fp")).distinct()).select(F.col("fp").alias(c), "root"), "simhash-classes")
-        sizes = nodes.join(classes.hint("shuffle_merge"), c).select("node", F.xxhash64("root", F.lit(view)).alias("group"))
-        edges = sizes if edges is None else edges.unionByName(sizes)
-    edges = common.written(edges, "simhash-groups")
-    shared = common.written(edges.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "simhash-shared")
-    linked_ = graph.components(edges.join(shared.hint("shuffle_merge"), "group"), "node", "group").select("node", "root")
+    # one graph of all views: a node is linked to its fingerprint in each view, and fingerprints of a view to each other
+    vertex = lambda c: F.xxhash64("view", c)
+    members = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.col(c).alias("fp")) for k, c in enumerate(prints)))).alias("p")).select("node", "p.view", "p.fp")
+    found = links_of_views(members.select("view", "fp").distinct()).select(vertex("a").alias("a"), vertex("b").alias("b"))
+    members = members.select("node", vertex("fp").alias("vertex"))
+    shared = members.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex")
+    live = found.select(F.explode(F.array("a", "b")).alias("vertex")).unionByName(shared).distinct()
+    members = members.join(common.written(live, "simhash-live").hint("shuffle_merge"), "vertex").select(F.col("node").alias("a"), F.col("vertex").alias("b"))
+    linked_ = graph.components(members.unionByName(found), "a", "b")
     keep = nodes.join(linked_.hint("shuffle_merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     keep = common.written(keep.select(F.col("least.uid").alias("tp_uid")), "simhash-kept")
     return rows.join(keep.hint("shuffle_merge"), "tp_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
