@@ -80,8 +80,9 @@ def by_grid(cells: DataFrame, frame: Frame, num_zone_cols=None, num_zone_rows=No
     return cells.withColumn(key, (r * nc + c).cast("int"))
 
 
-def by_polygons(cells: DataFrame, frame: Frame, zones: dict, key: str = "zone") -> DataFrame:
-    """Cells whose centre lies in each polygon (GeoJSON or WKT; even-odd rule), behind the test of its bounding box."""
+def by_polygons(cells: DataFrame, frame: Frame, zones, key: str = "zone") -> DataFrame:
+    """Cells whose centre lies in each polygon (GeoJSON or WKT; even-odd rule), behind the test of its bounding box. Zones are {name: polygon}, or a list, whose names count from 0."""
+    zones = zones if isinstance(zones, dict) else dict(enumerate(zones))
     x, y = frame.x(), frame.y()
     found = []
     for name, geometry in zones.items():

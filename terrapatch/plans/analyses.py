@@ -48,7 +48,7 @@ class _Zonal(Landscape):
 
 
 class ZonalAnalysis(_Zonal):
-    """Zones by label table (row, col, zone) or polygons {name: GeoJSON or WKT}; patches end at their zone."""
+    """Zones by label table (row, col, zone) or polygons (GeoJSON or WKT, as {name: polygon} or a list); patches end at their zone."""
 
     def __init__(self, cells: DataFrame, zones, frame: Z.Frame, zone_nodata: int | None = 0, **options):
         cells = Z.by_labels(cells, zones, zone_nodata) if isinstance(zones, DataFrame) else Z.by_polygons(cells, frame, zones)

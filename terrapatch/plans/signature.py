@@ -52,8 +52,8 @@ class SpatialSignatureAnalysis:
             warnings.warn("rows with missing values are dropped", RuntimeWarning, stacklevel=2)
         return df.na.drop(subset=self.names)
 
-    def decompose(self, n_components: int | None = None, preprocess: bool = True, impute: bool = False) -> DataFrame:
-        """Scores on the principal components (signs are arbitrary)."""
+    def decompose(self, n_components: int | None = None, preprocess: bool = True, impute: bool = False, decomposer=None) -> DataFrame:
+        """Scores on the principal components (signs are arbitrary), or on what another estimator of vectors makes of the matrix."""
         df = self.scaled(preprocess, impute)
         mean = df.agg(*(F.avg(c).alias(c) for c in self.names)).first()
         centred = df.select(*self.keys, *((F.col(c) - F.lit(mean[c] or 0.0)).alias(c) for c in self.names))
@@ -61,8 +61,11 @@ class SpatialSignatureAnalysis:
         if n_components is None:
             k = max(1, min(k, df.count()))
         vectors = VectorAssembler(inputCols=self.names, outputCol="v").transform(centred)
-        self.model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+        self.model = (decomposer or PCA(k=k)).copy().setInputCol("v").setOutputCol("p").fit(vectors)
         scores = self.model.transform(vectors).withColumn("p", vector_to_array("p"))
+        if decomposer is not None:
+            first = scores.select(F.size("p")).first()
+            k = first[0] if first else 0
         return scores.select(*self.keys, *(F.col("p")[i].alias(f"component_{i}") for i in range(k)))
 
     def loadings(self) -> DataFrame:

@@ -126,6 +126,16 @@ def rings(geometry) -> list[list[tuple[float, float]]]:
     raise ValueError("only polygons are zones")
 
 
+def read_zones(spark: SparkSession, path: str, index: str | None = None) -> dict:
+    """Polygons {name: geometry} of a GeoJSON file (a collection, a feature or a geometry); names come from a property, or count from 0. They become part of the plan, so they are few."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    features = found["features"] if found["type"] == "FeatureCollection" else [found]
+    names = [str(i if index is None else f["properties"][index]) for i, f in enumerate(features)]
+    if len(set(names)) != len(names):
+        raise ValueError(f"the values of {index} are not distinct")
+    return {n: f.get("geometry", f) for n, f in zip(names, features, strict=True)}
+
+
 def orders_raster(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Rasters derived from the orders table: iid, blocky or t1; landscape_id is the kind."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")

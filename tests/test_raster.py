@@ -231,3 +231,32 @@ def test_signature(spark):
     assert np.allclose(np.sort(scores.var(0)), np.sort(np.linalg.eigvalsh(np.cov(x.T, ddof=0))), atol=1e-8)
     assert s.loadings().count() == 2
     assert s.clusters((2, 3)).columns == ["grid_cell", "k_2", "k_3"]
+
+
+def test_zone_files_and_lists(spark, tmp_path):
+    """A collection with names, the same polygons as a list, and a name that occurs twice."""
+    import json
+
+    square = lambda x: {"type": "Polygon", "coordinates": [[[x, 0], [x + 2, 0], [x + 2, -4], [x, -4], [x, 0]]]}
+    features = [{"type": "Feature", "properties": {"id": n, "kind": "k"}, "geometry": square(x)} for n, x in (("a", 0), ("b", 2))]
+    path = tmp_path / "zones.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    named = R.read_zones(spark, str(path), "id")
+    assert list(named) == ["a", "b"] and list(R.read_zones(spark, str(path))) == ["0", "1"]
+    with pytest.raises(ValueError, match="not distinct"):
+        R.read_zones(spark, str(path), "kind")
+    cells, frame = R.from_array(spark, np.array(RING)), Z.Frame(4, 4)
+    got = {(r["zone"], r["class_val"]): r["total_area"] for r in A.ZonalAnalysis(cells, named, frame).class_metrics_df(["total_area"], metrics_kwargs={"total_area": {"hectares": False}}).collect()}
+    assert got == {("a", 1): 6, ("a", 2): 2, ("b", 1): 6, ("b", 2): 2}
+    zones = Z.by_polygons(cells, frame, [square(0), square(2)]).groupBy("zone").count().collect()
+    assert {r["zone"]: r["count"] for r in zones} == {"0": 8, "1": 8}
+
+
+def test_other_decomposers(spark):
+    """Any estimator of vectors may take the place of the principal components."""
+    from pyspark.ml.feature import MinMaxScaler
+
+    cells = Z.by_grid(R.from_array(spark, np.random.default_rng(0).integers(1, 3, (8, 8))), Z.Frame(8, 8), num_zone_cols=2, num_zone_rows=2)
+    a = SpatialSignatureAnalysis(Landscape(cells, (1, 1), ["grid_cell"]), landscape_metrics=["number_of_patches", "total_edge"])
+    rows = a.decompose(decomposer=MinMaxScaler()).collect()
+    assert len(rows) == 4 and all(0 <= v <= 1 for r in rows for v in (r["component_0"], r["component_1"]))
