@@ -75,13 +75,17 @@ class SpatialSignatureAnalysis:
         return self.metrics_df.sparkSession.createDataFrame(rows, ["metric", *(f"component_{i}" for i in range(pc.shape[1]))])
 
     def clusters(self, k_range=settings.K_RANGE, method: str = "kmeans", decompose: bool = False, seed: int = 0, **options) -> DataFrame:
-        """Keys and, for every k, the cluster of each landscape as column k_<k>."""
+        """Keys and, for every k, the cluster of each landscape as column k_<k>. Where fewer landscapes differ than k, there are as many clusters as those."""
         df = self.decompose(**options) if decompose else self.scaled(**options)
         names = [c for c in df.columns if c not in self.keys]
         out = VectorAssembler(inputCols=names, outputCol="features").transform(df).select(*self.keys, "features")
+        most = df.select(*names).distinct().count()
         for k in k_range:
+            if min(k, most) < 2:
+                out = out.withColumn(f"k_{k}", F.lit(0))
+                continue
             kind = {"kmeans": KMeans, "gmm": GaussianMixture}[method]
-            out = kind(k=k, seed=seed, predictionCol=f"k_{k}", featuresCol="features", **({"probabilityCol": f"p_{k}"} if method == "gmm" else {})).fit(out).transform(out)
+            out = kind(k=min(k, most), seed=seed, predictionCol=f"k_{k}", featuresCol="features", **({"probabilityCol": f"p_{k}"} if method == "gmm" else {})).fit(out).transform(out)
         return out.select(*self.keys, *(f"k_{k}" for k in k_range))
 
     def sample(self, clusters: DataFrame, k: int, n: int, seed: int = 0) -> DataFrame:

@@ -260,3 +260,10 @@ def test_other_decomposers(spark):
     a = SpatialSignatureAnalysis(Landscape(cells, (1, 1), ["grid_cell"]), landscape_metrics=["number_of_patches", "total_edge"])
     rows = a.decompose(decomposer=MinMaxScaler()).collect()
     assert len(rows) == 4 and all(0 <= v <= 1 for r in rows for v in (r["component_0"], r["component_1"]))
+
+
+def test_more_clusters_than_landscapes(spark):
+    cells = Z.by_grid(R.from_array(spark, np.random.default_rng(1).integers(1, 3, (8, 8))), Z.Frame(8, 8), num_zone_cols=2, num_zone_rows=1)
+    a = SpatialSignatureAnalysis(Landscape(cells, (1, 1), ["grid_cell"]), landscape_metrics=["number_of_patches", "total_edge"])
+    rows = a.clusters((2, 3, 7)).collect()
+    assert len(rows) == 2 and all(len({r[c] for r in rows}) == 2 for c in ("k_2", "k_3", "k_7"))
