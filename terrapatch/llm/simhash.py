@@ -52,43 +52,46 @@ def shingle_bounds(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[bytes,
     return joined.tobytes(), at[head] if len(head) else head, (at + size)[tail] if len(head) else head, of, count
 
 
-def fingerprints(batches, column: int = 1, n: int = SHINGLE, views: int = 1):
-    """Rows (id, fingerprint as signed 64 bits) of batches (id, text); further views are fingerprints of the same shingles, hashed anew from their hashes."""
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, n: int):
+    """(row of each segment, hash of each shingle of n words, its segment) of each piece of the texts."""
     digest = xxhash.xxh64_intdigest
+    carry, carry_row = b"", -1
+    for seg_rows, bounds in common.pieces(data, offs):
+        goes_on = bounds[-1] < offs[seg_rows[-1] + 1]
+        part = data[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        if carry_row == seg_rows[0]:  # the last words of the piece before lead over
+            lead = np.frombuffer(carry + b" ", np.uint8)
+            part = np.concatenate([lead, part])
+            bounds = np.concatenate([[0], bounds[1:] + len(lead)])
+        part = words.lowered(part)
+        joined, a, b, of, count = shingle_bounds(part, bounds, n)
+        if goes_on and count[-1] < n:  # no whole shingle yet
+            keep = of < len(seg_rows) - 1
+            a, b, of = a[keep], b[keep], of[keep]
+        yield seg_rows, np.array([digest(joined[x:y], SEED) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64), of
+        # the last n - 1 words begin shingles that end in the next piece of a long text
+        take = min(n - 1, int(count[-1])) if goes_on else 0
+        carry, carry_row = (joined[:-1].rsplit(b" ", take)[-take:], int(seg_rows[-1])) if take else ([], -1)
+        carry = b" ".join(carry)
+
+
+def fingerprints(batches, column: int = 1, n: int = SHINGLE):
+    """Rows (id, fingerprint as signed 64 bits) of batches (id, text)."""
     for batch in batches:
         data, offs = common.texts(batch, column)
         rows = len(offs) - 1
-        ones, total = np.zeros((views, rows, 64), np.int64), np.zeros(rows, np.int64)
-        carry, carry_row = b"", -1
-        for seg_rows, bounds in common.pieces(data, offs):
-            goes_on = bounds[-1] < offs[seg_rows[-1] + 1]
-            part = data[bounds[0] : bounds[-1]]
-            bounds = bounds - bounds[0]
-            if carry_row == seg_rows[0]:  # the last words of the piece before lead over
-                lead = np.frombuffer(carry + b" ", np.uint8)
-                part = np.concatenate([lead, part])
-                bounds = np.concatenate([[0], bounds[1:] + len(lead)])
-            part = words.lowered(part)
-            joined, a, b, of, count = shingle_bounds(part, bounds, n)
-            if goes_on and count[-1] < n:  # no whole shingle yet
-                keep = of < len(seg_rows) - 1
-                a, b, of = a[keep], b[keep], of[keep]
-            h = np.array([digest(joined[x:y], SEED) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
+        ones, total = np.zeros((rows, 64), np.int64), np.zeros(rows, np.int64)
+        for seg_rows, h, of in shingle_hashes(data, offs, n):
             if len(h):
                 heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 row = seg_rows[of[heads]]
-                for view in range(views):
-                    seen = words.mixed(h + np.uint64(view)) if view else h
-                    bits = np.unpackbits(seen.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones[view, row] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[row] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
                 total[row] += np.diff(np.append(heads, len(of)))
-            # the last n - 1 words begin shingles that end in the next piece of a long text
-            take = min(n - 1, int(count[-1])) if goes_on else 0
-            carry, carry_row = (joined[:-1].rsplit(b" ", take)[-take:], int(seg_rows[-1])) if take else ([], -1)
-            carry = b" ".join(carry)
-        mark = (2 * ones > total[None, :, None]).astype(np.uint8)
-        value = np.packbits(mark, axis=2, bitorder="little").view("<u8")[:, :, 0] if rows else np.zeros((views, 0), np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v.view(np.int64)) for v in value)], names=["doc_id", "fp", *(f"fp_{k}" for k in range(1, views))])
+        mark = (2 * ones > total[:, None]).astype(np.uint8)
+        value = np.packbits(mark, axis=1, bitorder="little").view("<u8")[:, 0] if rows else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.view(np.int64))], names=["doc_id", "fp"])
 
 
 def _ring(x):
@@ -217,39 +220,160 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of the corpus pipeline: words of a shingle and views. Four bits of one fingerprint over longer shingles miss most copies that are as little as 0.8 alike on five words; these find them, and hardly any others (see the README).
-COPY_SHINGLE, COPY_VIEWS = 2, 3
+#: Of the corpus pipeline: words of a shingle; copies are alike (Jaccard, of the sets of shingles) by 4/5 or more.
+COPY_SHINGLE, ALIKE = 5, (4, 5)
+#: Keys of a set and least hashes in each: two sets that are 0.8 alike share no key with a probability of 8e-8.
+BANDS, LEAST = 16, 2
+#: Bytes of shingle sets of one key that one task holds (about); see KEY_BLOCK.
+SET_BYTES = 16 << 20
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in order, and where each text's begin (rows + 1)."""
+    rows = len(offs) - 1
+    found = [(seg_rows[of], h) for seg_rows, h, of in shingle_hashes(data, offs, n)]
+    of, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    return h[new], np.searchsorted(of[new], np.arange(rows + 1))
+
+
+def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BANDS keys for each text that has shingles: hashes of LEAST least hashes each, under as many orders of the shingles."""
+    heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+    out = np.empty((len(heads), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(heads), band + 1, np.uint64)
+        for k in range(LEAST):
+            salt = np.uint64((band * LEAST + k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            key = words.mixed(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(words.mixed(h ^ salt), heads))
+        out[:, band] = key
+    return out
+
+
+def alike(one: int, many: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that share so many are alike by ALIKE or more, in whole numbers."""
+    a, b = ALIKE
+    return shared * (a + b) >= a * (one + many)
+
+
+def _alike_links(node: np.ndarray, sets: list[bytes]) -> np.ndarray | None:
+    """Links (2, n) by which a search from each unreached set reaches others that are alike."""
+    node, at = np.unique(node, return_index=True)
+    if len(node) < 2:
+        return None
+    held = [np.frombuffer(sets[i], np.uint64) for i in at.tolist()]
+    size = np.array([len(x) for x in held])
+    if len(node) == 2:
+        shared = len(np.intersect1d(held[0], held[1], assume_unique=True))
+        return node[:, None] if alike(int(size[0]), size[1:], np.array([shared]))[0] else None
+    # for each shingle, the sets that hold it
+    of = np.repeat(np.arange(len(held)), size)
+    _, name = np.unique(np.concatenate(held), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    holders, top = of[order], np.concatenate([[0], np.cumsum(np.bincount(name))])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    left, found = np.ones(len(held), bool), []
+    for first in range(len(held)):
+        frontier = [first] if left[first] else []
+        left[first] = False
+        while frontier:
+            one = frontier.pop()
+            mine = name[bounds[one] : bounds[one + 1]]
+            shared = np.bincount(holders[words.gathered(top[mine], top[mine + 1] - top[mine])], minlength=len(held))
+            hit = np.flatnonzero(left & (shared > 0) & alike(int(size[one]), size, shared))
+            if len(hit):
+                left[hit] = False
+                found.append(np.stack([np.full(len(hit), node[one]), node[hit]]))
+                frontier.extend(hit.tolist())
+    return np.concatenate(found, 1) if found else None
+
+
+def _cells(batches):
+    """(nodes, their sets) of each key and cell of sorted rows (key, cell, node, set)."""
+    at, node, sets = None, [], []
+    for batch in batches:
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for now, n, x in zip(keys, batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if now != at:
+                if len(node) > 1:
+                    yield np.array(node, np.int64), sets
+                at, node, sets = now, [], []
+            node.append(n)
+            sets.append(x.as_py())
+    if len(node) > 1:
+        yield np.array(node, np.int64), sets
+
+
+def alike_links(keys: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) of sets that are alike: enough of them to connect all that pairs with a key in common connect.
+
+    keys: node, uid of a row that has its text, size of its set, key. rows: uid, text. Sets are made anew for nodes that
+    share a key. Keys that have the same members are searched once.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    sizes = sizes.groupBy("n", "all", "least", "members").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.greatest(F.col("n") / KEY_BLOCK, F.col("all") * 8 / SET_BYTES)).cast("int")
+    sizes = common.written(sizes.select("key", F.greatest(F.lit(1), F.least(blocks, F.col("n"))).alias("blocks")), "copies-sizes")
+    met = common.written(keys.join(sizes.hint("shuffle_merge"), "key").select("node", "uid", "key", "blocks"), "copies-met")
+    live = met.select("uid").distinct()
+
+    def made(batches):
+        for batch in batches:
+            h, bounds = shingle_sets(*common.texts(batch, 1), n)
+            held = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["uid", "shingles"])
 
+    sets = common.written(rows.join(live.hint("shuffle_merge"), "uid", "left_semi").select("uid", "text").mapInArrow(made, "uid long, shingles binary"), "copies-sets")
+    # every two blocks of a large key, and each with itself, meet in a cell
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(mine, other) * F.col("blocks").cast("long") + F.greatest(mine, other))
+    dealt = met.select("node", "uid", "key", F.explode(cells).alias("cell")).join(sets.hint("shuffle_merge"), "uid").select("key", "cell", "node", "shingles")
+    dealt = dealt.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "cell").sortWithinPartitions("key", "cell")
+
+    def run(batches):
+        for node, held in _cells(batches):
+            out = _alike_links(node, held)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(out.min(0)), pa.array(out.max(0))], names=["a", "b"])
+
+    out = common.written(dealt.mapInArrow(run, "a long, b long").distinct(), "copies-links")
+    common.forgotten(sizes, met, sets)
+    return out
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = COPY_SHINGLE) -> DataFrame:
+    """One row, with all its columns, of each group: that of the smallest id (null ids last; of repeated ids, any one).
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = COPY_SHINGLE, views: int = COPY_VIEWS) -> DataFrame:
-    """One row, with all its columns, of each group: that of the smallest id (null ids last; of repeated ids, any one). Documents are in a group if fingerprints of one view link them."""
+    Documents are linked if their sets of n-word shingles are 0.8 alike or more, and in a group if links connect them.
+    Texts without words are one group.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
-    prints = [f"tp_fp{k}" for k in range(views)]
-    names = [*docs.columns, *prints]
-    where, schema = docs.columns.index(column), T.StructType([*docs.schema])
-    for c in prints:
-        schema = schema.add(c, "long")
+    names = [*docs.columns, "tp_node", "tp_size", "tp_keys"]
+    where, schema = docs.columns.index(column), T.StructType([*docs.schema]).add("tp_node", "long").add("tp_size", "long").add("tp_keys", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            part = pa.RecordBatch.from_arrays([batch.column(where), batch.column(where)], names=["a", "b"])
-            found = next(fingerprints(iter([part]), 1, n, views)).columns[1:]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=names)
-
-    rows = common.written(docs.mapInArrow(run, schema).withColumn("tp_uid", F.monotonically_increasing_id()), "simhash-rows")
+            h, bounds = shingle_sets(*common.texts(batch, where), n)
+            node = [xxhash.xxh64_intdigest(h[a:b].tobytes(), SEED) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            keys, size = set_keys(h, bounds), np.diff(bounds)
+            offs = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size.astype(np.int64)), keys], names=names)
+
+    rows = common.written(docs.mapInArrow(run, schema).withColumn("tp_uid", F.monotonically_increasing_id()), "copies-rows")
     name = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("tp_uid").alias("uid"))
-    nodes = rows.groupBy(*prints).agg(F.min(name).alias("least")).withColumn("node", F.xxhash64(*prints))
-    nodes = common.written(nodes, "simhash-nodes")
-    # one graph of all views: a node is linked to its fingerprint in each view, and fingerprints of a view to each other
-    vertex = lambda c: F.xxhash64("view", c)
-    members = nodes.select("node", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.col(c).alias("fp")) for k, c in enumerate(prints)))).alias("p")).select("node", "p.view", "p.fp")
-    found = links_of_views(members.select("view", "fp").distinct()).select(vertex("a").alias("a"), vertex("b").alias("b"))
-    members = members.select("node", vertex("fp").alias("vertex"))
-    shared = members.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex")
-    live = found.select(F.explode(F.array("a", "b")).alias("vertex")).unionByName(shared).distinct()
-    members = members.join(common.written(live, "simhash-live").hint("shuffle_merge"), "vertex").select(F.col("node").alias("a"), F.col("vertex").alias("b"))
-    linked_ = graph.components(members.unionByName(found), "a", "b")
-    keep = nodes.join(linked_.hint("shuffle_merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    keep = common.written(keep.select(F.col("least.uid").alias("tp_uid")), "simhash-kept")
+    nodes = common.written(rows.groupBy(F.col("tp_node").alias("node")).agg(F.min(name).alias("least")), "copies-nodes")
+    # equal sets have equal keys: those of the least row stand for all
+    first = nodes.select("node", F.col("least.uid").alias("tp_uid"))
+    keys = rows.select("tp_uid", "tp_size", "tp_keys").join(first.hint("shuffle_merge"), "tp_uid")
+    keys = common.written(keys.select("node", F.col("tp_uid").alias("uid"), F.col("tp_size").alias("size"), F.explode("tp_keys").alias("key")), "copies-keys")
+    links_ = alike_links(keys, rows.select(F.col("tp_uid").alias("uid"), F.col(f"`{column}`").alias("text")), n)
+    common.forgotten(keys)
+    groups = graph.components(links_, "a", "b")
+    keep = nodes.join(groups.hint("shuffle_merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    keep = common.written(keep.select(F.col("least.uid").alias("tp_uid")), "copies-kept")
     return rows.join(keep.hint("shuffle_merge"), "tp_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

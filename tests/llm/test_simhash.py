@@ -145,3 +145,35 @@ def test_representatives_keep_columns_and_distinct_documents(odd):
     rows = got.collect()
     texts = [r["text"] for r in rows if r["text"] and len(r["text"].split()) > 4]
     assert len(texts) == len(set(texts)) and "abc " * 200 in texts
+
+
+def test_representatives_take_five_words_and_four_fifths(spark):
+    """Edits spread over texts: the pairs a little above 0.8 on five words lose one document, those a little below keep both."""
+
+    def like(a, b):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    texts, want = [], []
+    for k in range(40):
+        w = passage(9000 + k, 200).split()
+        edited = list(w)
+        for i in range(4 if k % 2 else 5):  # four edits are 0.81 alike, five 0.77
+            edited[15 + 40 * i] = f"edit{i}"
+        texts += [" ".join(w), " ".join(edited)]
+        assert (like(*texts[-2:]) >= 0.8) == bool(k % 2) and like(*texts[-2:]) > 0.75
+        want += [2 * k] if k % 2 else [2 * k, 2 * k + 1]
+    assert sorted(r["doc_id"] for r in simhash.representatives(frame(spark, texts)).collect()) == want
+
+
+def test_blocks_of_a_large_key_link_alike(spark, monkeypatch):
+    """A chain of texts: neighbours are alike, and it stays one group when its keys are dealt out in blocks."""
+    w = passage(9100, 200).split()
+    texts = []
+    for k in range(30):
+        w[15 + 6 * k] = f"edit{k}"
+        texts.append(" ".join(w))
+    docs = frame(spark, texts)
+    one = [r["doc_id"] for r in simhash.representatives(docs).collect()]
+    monkeypatch.setattr(simhash, "KEY_BLOCK", 4)
+    assert [r["doc_id"] for r in simhash.representatives(docs).collect()] == one == [0]
