@@ -107,22 +107,28 @@ for m in ("total_edge", "edge_density"):
 
 SOME = ["total_area", "proportion_of_landscape", "number_of_patches", "largest_patch_index", "total_edge", "edge_density", "area_mn", "area_cv"]
 WHOLE = ["number_of_patches", "total_edge", "edge_density", "shannon_diversity_index", "contagion", "area_mn"]
-#: Of large zones, what adds up over cells; their patches are tested against brute force.
+#: Of large zones: SQL that closes over patches is too slow there, so these have none and are tested against brute force.
+LARGE, LARGE_WHOLE = [*SOME, "landscape_shape_index"], [*WHOLE, "landscape_shape_index"]
+#: What of them adds up over cells has SQL, under names of its own.
 ADDED = ["total_area", "proportion_of_landscape", "total_edge", "edge_density", "landscape_shape_index"]
 ADDED_WHOLE = ["total_edge", "edge_density", "landscape_shape_index", "shannon_diversity_index", "contagion"]
 query("patch_metrics_df", O.patch_frame(settings.PATCH))(lambda s, d: grid(s, d).patch_metrics_df())
 query("class_metrics_df", O.class_frame(settings.CLASS))(lambda s, d: grid(s, d).class_metrics_df())
 query("landscape_metrics_df", O.landscape_frame(settings.LANDSCAPE))(lambda s, d: grid(s, d).landscape_metrics_df())
-query("spatiotemporal_class_metrics", O.class_frame(ADDED, source=O.DATED, keys=("dates",)))(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).class_metrics_df(ADDED))
-query("spatiotemporal_landscape_metrics", O.landscape_frame(ADDED_WHOLE, source=O.DATED, keys=("dates",)))(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).landscape_metrics_df(ADDED_WHOLE))
-query("zonal_label_metrics", O.class_frame(ADDED, source=O.LABELLED, keys=("zone",)))(lambda s, d: A.ZonalAnalysis(R.orders_raster(s, d, "blocky"), labels(s, d), frame(s, d)).class_metrics_df(ADDED))
+query("spatiotemporal_class_metrics")(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).class_metrics_df(LARGE))
+query("spatiotemporal_class_metrics_added", O.class_frame(ADDED, source=O.DATED, keys=("dates",)))(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).class_metrics_df(ADDED))
+query("spatiotemporal_landscape_metrics")(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).landscape_metrics_df(LARGE_WHOLE))
+query("spatiotemporal_landscape_metrics_added", O.landscape_frame(ADDED_WHOLE, source=O.DATED, keys=("dates",)))(lambda s, d: A.SpatioTemporalAnalysis(dates(s, d), RES).landscape_metrics_df(ADDED_WHOLE))
+query("zonal_label_metrics")(lambda s, d: A.ZonalAnalysis(R.orders_raster(s, d, "blocky"), labels(s, d), frame(s, d)).class_metrics_df(LARGE))
+query("zonal_label_metrics_added", O.class_frame(ADDED, source=O.LABELLED, keys=("zone",)))(lambda s, d: A.ZonalAnalysis(R.orders_raster(s, d, "blocky"), labels(s, d), frame(s, d)).class_metrics_df(ADDED))
 query("zonal_grid_metrics", O.landscape_frame(WHOLE))(lambda s, d: grid(s, d).landscape_metrics_df(WHOLE))
 POLYGON = {"a": "POLYGON ((55 -55, 405 -105, 305 -385, 55 -55))"}
 query("zonal_polygon_metrics", O.class_frame(SOME, source=O.POLYGON, keys=("zone",)))(lambda s, d: A.ZonalAnalysis(R.orders_raster(s, d, "blocky"), POLYGON, frame(s, d)).class_metrics_df(SOME))
 CENTRE, DISTANCES = (251.0, -149.0), (60, 100, 140)
 query("buffer_metrics", O.class_frame(SOME, source=O.DISCS, keys=("buffer_dist",)))(lambda s, d: A.BufferAnalysis(R.orders_raster(s, d, "blocky"), CENTRE, DISTANCES, frame(s, d)).class_metrics_df(SOME))
 query("buffer_ring_metrics", O.class_frame(SOME, source=O.RINGS, keys=("buffer_dist",)))(lambda s, d: A.BufferAnalysis(R.orders_raster(s, d, "blocky"), CENTRE, DISTANCES, frame(s, d), buffer_rings=True).class_metrics_df(SOME))
-query("spatiotemporal_zonal_metrics", O.class_frame(ADDED, source=O.DATED_LABELLED, keys=("zone", "date")))(lambda s, d: A.SpatioTemporalZonalAnalysis(dates(s, d), labels(s, d), frame(s, d)).class_metrics_df(ADDED))
+query("spatiotemporal_zonal_metrics")(lambda s, d: A.SpatioTemporalZonalAnalysis(dates(s, d), labels(s, d), frame(s, d)).class_metrics_df(LARGE))
+query("spatiotemporal_zonal_metrics_added", O.class_frame(ADDED, source=O.DATED_LABELLED, keys=("zone", "date")))(lambda s, d: A.SpatioTemporalZonalAnalysis(dates(s, d), labels(s, d), frame(s, d)).class_metrics_df(ADDED))
 query("spatiotemporal_buffer_metrics", O.class_frame(SOME, source=O.DATED_DISCS, keys=("buffer_dist", "date")))(lambda s, d: A.SpatioTemporalBufferAnalysis(dates(s, d), CENTRE, DISTANCES, frame(s, d)).class_metrics_df(SOME))
 query("spatiotemporal_grid_metrics", O.class_frame(SOME, source=O.DATED_GRID, keys=("grid_cell", "date")))(lambda s, d: A.SpatioTemporalZonalGridAnalysis(dates(s, d), frame(s, d), zone_width=SIDE, zone_height=SIDE).class_metrics_df(SOME))
 query("zonal_statistics", f"SELECT grid_cell, max(edge_density) FILTER (date = 't0') AS t0, max(edge_density) FILTER (date = 't1') AS t1 FROM ({O.landscape_frame(['edge_density'], source=O.DATED_GRID, keys=('grid_cell', 'date'))}) GROUP BY grid_cell")(

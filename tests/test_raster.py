@@ -267,3 +267,41 @@ def test_more_clusters_than_landscapes(spark):
     a = SpatialSignatureAnalysis(Landscape(cells, (1, 1), ["grid_cell"]), landscape_metrics=["number_of_patches", "total_edge"])
     rows = a.clusters((2, 3, 7)).collect()
     assert len(rows) == 2 and all(len({r[c] for r in rows}) == 2 for c in ("k_2", "k_3", "k_7"))
+
+
+def test_registered_queries_of_large_zones_have_their_patches(spark):
+    """Patches of whole dates and of zones that are no rectangles, against brute force on the smallest table."""
+    from terrapatch import registered
+
+    sf = "/root/testdata/sf0.001"
+    frame = registered.frame(spark, sf)
+
+    def array(cells):
+        v = np.zeros((frame.height, frame.width), int)
+        for r in cells.collect():
+            v[r["row"], r["col"]] = r["class_val"]
+        return v
+
+    dated = dict(zip(("t0", "t1"), map(array, registered.dates(spark, sf)), strict=True))
+    zone = np.zeros_like(dated["t0"])
+    for r in registered.labels(spark, sf).collect():
+        zone[r["row"], r["col"]] = r["zone"]
+    zones = [z for z in np.unique(zone) if z]
+    want = {
+        "spatiotemporal_class_metrics": (("dates",), {(d,): v for d, v in dated.items()}),
+        "spatiotemporal_landscape_metrics": (("dates",), {(d,): v for d, v in dated.items()}),
+        "zonal_label_metrics": (("zone",), {(str(z),): np.where(zone == z, dated["t0"], 0) for z in zones}),
+        "spatiotemporal_zonal_metrics": (("zone", "date"), {(str(z), d): np.where(zone == z, v, 0) for z in np.unique(zone) for d, v in dated.items()}),
+    }
+    for name, (keys, rasters) in want.items():
+        rows, seen = registered.QUERIES[name](spark, sf).collect(), set()
+        for r in rows:
+            at = tuple(str(r[k]) for k in keys)
+            patches = brute(rasters[at])
+            total = sum(p[2] for p in patches)
+            n = [p[2] for p in patches if "class_val" not in r or p[0] == r["class_val"]]
+            seen.add((*at, r["class_val"] if "class_val" in r else None))
+            assert r["number_of_patches"] == len(n) and r["area_mn"] == pytest.approx(np.mean(n) / 100, abs=1e-6), (name, r)
+            if "class_val" in r:
+                assert r["largest_patch_index"] == pytest.approx(100 * max(n) / total, abs=1e-5)
+        assert {s[:-1] for s in seen} == set(rasters) and len(seen) == len(rows)
