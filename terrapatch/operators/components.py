@@ -13,6 +13,8 @@ from terrapatch.operators.shared import written
 
 #: Kinds of rows that the tile kernel returns.
 PART, CORE, ADJACENT, SEAM, MAP, RIM = range(6)
+#: Seams of one raster up to which its graph is solved in one task, in bounded memory; larger ones go by rounds.
+AT_ONCE = 1 << 20
 ROW = "kind int, class_val int, a long, b long, c long, d long, e long"
 
 
@@ -41,14 +43,22 @@ def labelled(code: np.ndarray, eight: bool) -> np.ndarray:
 def tile_rows(pdf: pd.DataFrame, tr: int, tc: int, tile: int, eight: bool, depth: int, rim: bool) -> pd.DataFrame:
     """All rows of one tile from its cells and those around it, `depth` deep (one at least)."""
     halo = max(depth, 1)
-    top, left, side = tr * tile - halo, tc * tile - halo, tile + 2 * halo
+    rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    # the part of the tile that holds its cells, and the halo around that
+    r0, r1 = max(int(rows.min()), tr * tile), min(int(rows.max()), tr * tile + tile - 1) + 1
+    c0, c1 = max(int(cols.min()), tc * tile), min(int(cols.max()), tc * tile + tile - 1) + 1
+    high, wide = max(r1 - r0, 0), max(c1 - c0, 0)
+    if not high or not wide:
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("kind", "class_val", "a", "b", "c", "d", "e")})
+    top, left = r0 - halo, c0 - halo
     classes, number = np.unique(pdf["class_val"].to_numpy(), return_inverse=True)
-    code = np.zeros((side, side), np.int64)
-    code[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left] = number + 1
-    shift = lambda dr, dc, x=code: x[halo + dr : halo + tile + dr, halo + dc : halo + tile + dc]
+    code = np.zeros((high + 2 * halo, wide + 2 * halo), np.int64)
+    near = (rows >= top) & (rows < r1 + halo) & (cols >= left) & (cols < c1 + halo)
+    code[rows[near] - top, cols[near] - left] = number[near] + 1
+    shift = lambda dr, dc, x=code: x[halo + dr : halo + high + dr, halo + dc : halo + wide + dc]
     own = shift(0, 0)
     here = own > 0
-    cell = ((np.arange(tile) + tr * tile)[:, None] << 32) + (np.arange(tile) + tc * tile)[None, :]
+    cell = ((np.arange(high) + r0)[:, None] << 32) + (np.arange(wide) + c0)[None, :]
     around = {(dr, dc): shift(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc}
     flat = lambda root: cell.ravel()[root]
     name = classes[np.maximum(own, 1) - 1]
@@ -85,19 +95,21 @@ def tile_rows(pdf: pd.DataFrame, tr: int, tc: int, tile: int, eight: bool, depth
         locals_, n = np.unique(core_root[inside], return_counts=True)
         add(CORE, name.ravel()[locals_], flat(locals_), flat(root.ravel()[locals_]), n)
         layers.append((1, core, core_root))
-    edge = np.zeros((tile, tile), bool)
-    edge[0, :] = edge[:, 0] = edge[:, -1] = True
+    # the rows and columns that touch the next tiles
+    first_row, last_row = (np.arange(high) + r0 == r for r in (tr * tile, tr * tile + tile - 1))
+    first_col, last_col = (np.arange(wide) + c0 == c for c in (tc * tile, tc * tile + tile - 1))
+    edge = first_row[:, None] | first_col[None, :] | last_col[None, :]
     for layer, mine, root_ in layers:
         on = edge & (mine > 0)
         add(MAP, name[on], cell[on], flat(root_[on]), layer)
         for dr, dc in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if eight else ())):
-            out_of = np.zeros((tile, tile), bool)
+            out_of = np.zeros((high, wide), bool)
             if dr:
-                out_of[-1, :] = True
+                out_of[last_row, :] = True
             if dc > 0:
-                out_of[:, -1] = True
+                out_of[:, last_col] = True
             if dc < 0:
-                out_of[:, 0] = True
+                out_of[:, first_col] = True
             # whether the cell beyond is core is known in its own tile, whose MAP rows hold core cells only
             met = out_of & (mine > 0) & (around[dr, dc] == mine)
             add(SEAM, name[met], flat(root_[met]), cell[met] + (dr << 32) + dc, layer)
@@ -126,6 +138,8 @@ def tiles(cells: DataFrame, keys: list[str], tile: int, eight: bool, depth: int,
             rows.insert(i, k, key[i])
         return rows
 
+    # as many tasks as the session has for shuffles: little input is much work here, which must not meet in one task
+    dealt = dealt.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "tile_r", "tile_c")
     return dealt.groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, kind)
 
 
@@ -135,13 +149,39 @@ def merged(rows: DataFrame, keys: list[str], layer: int) -> DataFrame | None:
     known = rows.where((F.col("kind") == MAP) & (F.col("c") == layer)).select(*keys, F.col("a").alias("cell"), F.col("b").alias("v"))
     edges = seams.join(known, [*keys, "cell"]).where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "seams")
-    if edges.isEmpty():
+    most = edges.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if not most:
         return None
-    return components(edges, keys).select(*keys, F.col("u").alias("root"), F.col("v").alias("patch"))
+    found = components_at_once(edges, keys) if most <= AT_ONCE else components(edges, keys)
+    return found.select(*keys, F.col("u").alias("root"), F.col("v").alias("patch"))
+
+
+def components_at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """As components(), for graphs of at most AT_ONCE edges in each raster: a task each."""
+    n = len(keys)
+
+    def run(key, pdf):
+        node, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+        root = np.arange(len(node))
+        i, j = at[: len(pdf)], at[len(pdf) :]
+        while len(i):
+            a, b = root[i], root[j]
+            open_ = a != b
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        up = root < np.arange(len(node))
+        out = pd.DataFrame({"u": node[up], "v": node[root[up]]})
+        for k in range(n):
+            out.insert(k, keys[k], key[k])
+        return out
+
+    return written(edges.groupBy(*keys).applyInPandas(run, edges.schema), "stars")
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, u, v): each node above the least of its component with that one. Edges have u > v. Stars alternate: larger neighbours go to the least of a neighbourhood, then smaller ones do."""
+    """(keys, u, v): each node above the least of its component with that one. Edges have u > v. Stars alternate: larger neighbours go to the least of a neighbourhood, then smaller ones do. That nothing changed is seen by the number of edges and a sum of their hashes."""
     seen, now = None, edges
     while True:
         both = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -167,8 +207,9 @@ def named(rows: DataFrame, keys: list[str], column: str, merges: DataFrame | Non
 def nearest(rim: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, patch, squared): least squared distance in cells from each patch to another of its class, over rim cells (keys, class_val, row, col, patch).
 
-    Cells meet others of their own and the eight adjacent buckets; a distance within the buckets' side is final, and
-    patches without one go on with buckets four times as large. Classes of one patch have no row.
+    Cells meet others of their own and the eight adjacent buckets, unless those hold no other patch, so that a patch
+    that lies alone does not meet itself; a distance within the buckets' side is final, and patches without one go on
+    with buckets four times as large. Classes of one patch have no row.
     """
     group = [*keys, "class_val"]
     several = rim.groupBy(*group).agg(F.min("patch").alias("x"), F.max("patch").alias("y")).where("x <> y").select(*group)
@@ -180,8 +221,12 @@ def nearest(rim: DataFrame, keys: list[str]) -> DataFrame:
         bucket = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")  # noqa: E731,B023
         other = rim.select(*group, F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("patch").alias("p2"), bucket("row").alias("br"), bucket("col").alias("bc"))
         near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        around = lambda df: df.withColumn("br", F.explode(F.transform(near, lambda d: F.col("br0") + d))).withColumn("bc", F.explode(F.transform(near, lambda d: F.col("bc0") + d)))  # noqa: E731,B023
+        # buckets with whom else they may meet: the least and the greatest patch around
+        held = rim.groupBy(*group, bucket("row").alias("br0"), bucket("col").alias("bc0")).agg(F.min("patch").alias("x"), F.max("patch").alias("y"))
+        mixed = around(held).groupBy(*group, F.col("br").alias("br0"), F.col("bc").alias("bc0")).agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").drop("x", "y")
         ask = left.select(*group, "row", "col", "patch", (bucket("row")).alias("br0"), (bucket("col")).alias("bc0"))
-        ask = ask.withColumn("br", F.explode(F.transform(near, lambda d: F.col("br0") + d))).withColumn("bc", F.explode(F.transform(near, lambda d: F.col("bc0") + d)))
+        ask = around(ask.join(mixed, [*group, "br0", "bc0"], "left_semi"))
         d = (F.col("row") - F.col("r2")).cast("long") * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")).cast("long") * (F.col("col") - F.col("c2"))
         found = ask.join(other, [*group, "br", "bc"]).where("patch <> p2").groupBy(*group, "patch").agg(F.min(d).alias("squared"))
         if side < reach:

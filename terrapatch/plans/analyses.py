@@ -11,7 +11,11 @@ from terrapatch.operators import zones as Z
 from terrapatch.plans.landscape import Landscape
 
 
-def snapshots(landscapes: list[DataFrame], dates=None, key: str = "dates") -> DataFrame:
+#: The key column of snapshots before it has its name.
+INNER = "tp_date"
+
+
+def snapshots(landscapes: list[DataFrame], dates=None, key: str = INNER) -> DataFrame:
     """Cells of several rasters under their dates (t0, t1, ... if none are given)."""
     dates = [f"t{i}" for i in range(len(landscapes))] if dates is None else [str(d) for d in dates]
     if len(dates) != len(landscapes):
@@ -24,14 +28,14 @@ class MultiLandscape(Landscape):
 
     def __init__(self, landscapes: list[DataFrame], attribute: str, values, res, **options):
         values = [str(v) for v in values]
-        super().__init__(snapshots(landscapes, values, attribute), res, [attribute], **options)
+        super().__init__(snapshots(landscapes, values), res, [INNER], names=[attribute], **options)
 
 
 class SpatioTemporalAnalysis(Landscape):
     """Snapshots of one region; key: dates."""
 
     def __init__(self, landscapes: list[DataFrame], res, dates=None, **options):
-        super().__init__(snapshots(landscapes, dates), res, ["dates"], **options)
+        super().__init__(snapshots(landscapes, dates), res, [INNER], names=["dates"], **options)
 
 
 class _Zonal(Landscape):
