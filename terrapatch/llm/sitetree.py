@@ -1,11 +1,15 @@
 """Main text of web pages by the style trees of their sites.
 
-All pages of a host are merged into one tree of styles: a node is a path of tags with their
-classes, and carries how often each content and each presentation (sequence of children)
-occurs below it on the host's pages.  A node's importance is the entropy of these, relative
-to the number of pages: what every page repeats has none.  Branches of low importance go
-from each page, and so do branches that their tags or names give away as menus, headers,
-footers, sidebars, notices, adverts, forms or comments.
+All distinct pages of a host are merged into one tree of styles: a node is a path of tags with
+their classes.  An inner node's presentation importance is the entropy of the sequences of
+children that it shows on the host's pages; a content node's importance is what the entropies
+of its texts over the pages leave: a text that every page repeats tells nothing, one that a
+single page has tells all.  A node's composite importance weighs its own presentation with the
+content of all nodes below it, by the number of its styles; on hosts of few pages it is drawn
+towards full importance.  A branch of low importance goes from each page as a whole.  Tags are
+a prior: inside an article or main element a branch has to be less important to go, and outside
+one, on pages that have one, more important to stay.  Branches that their tags or names give
+away as menus, headers, footers, sidebars, notices, adverts, forms or comments go anyway.
 """
 
 from __future__ import annotations
@@ -15,14 +19,17 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapatch.llm import common
 
-#: A branch goes if its importance is below this, on hosts with at least PAGES pages that have it.
-IMPORTANCE, PAGES = 0.15, 8
-#: Bytes of removed nodes up to which they are broadcast.
+#: A branch goes if its importance is below LOW divided by its weight: inside of an article, outside on pages that have one, or on pages that have none.
+LOW, INSIDE, OUTSIDE = 0.3, 1.5, 0.7
+#: What each style of a node leaves to the content below it, and pages of full importance that every node begins with.
+GAMMA, PRIOR = 0.9, 4
+#: Bytes of low nodes up to which they are broadcast.
 BROADCAST = 8 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*)[^>]*+>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+[^>]*+)>?", re.S)
@@ -125,78 +132,116 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-PARSED = "page_id long, url string, host string, blocks array<struct<path:string,text:string,kind:int>>"
+def host(url: str) -> Column:
+    """Host of a column of URLs in lower case, without user and port; empty if there is none."""
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def host(url: str | None) -> str:
-    """Host of a URL in lower case, without user and port; empty if there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def branches(path: str) -> list[str]:
+    """The nodes from the root down to a path, itself last."""
+    at = [i for i, c in enumerate(path) if c == "/"][1:]
+    return [*(path[:i] for i in at), path]
 
 
-def parsed(pages: DataFrame, id_column: str, url: str, html: str) -> DataFrame:
-    """Blocks of every page that were not given away."""
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("kind", pa.int32())]))
+def styles(found: list[tuple[str, str, int]]) -> list[tuple[str, int, int]]:
+    """(path, kind, feature) of a page's blocks: each text of a content node (CONTENT), that the node is there (PRESENT), and each inner node's sequence of children (SHOWN); a branch of several blocks in a row is one child."""
+    texts: set[tuple[str, int]] = set()
+    below: dict[str, int] = {}
+    before: list[str] = []
+    for path, text, _ in found:
+        nodes_ = branches(path)
+        texts.add((path, zlib.crc32(text.encode("utf-8", "surrogatepass"))))
+        new = False
+        for k in range(1, len(nodes_)):
+            new = new or k == len(nodes_) - 1 or before[: k + 1] != nodes_[: k + 1]
+            if new:
+                below[nodes_[k - 1]] = zlib.crc32(nodes_[k][len(nodes_[k - 1]) :].encode(), below.get(nodes_[k - 1], 0))
+        before = nodes_
+    return [*((p, CONTENT, h) for p, h in texts), *((p, PRESENT, 0) for p in {p for p, _ in texts}), *((p, SHOWN, h) for p, h in below.items())]
 
-    def run(batches):
-        for batch in batches:
-            ids, urls, pages_ = batch.columns
-            found = [[{"path": p, "text": t, "kind": k} for p, t, k in blocks(page or "") if k] for page in pages_.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array([host(u) for u in urls.to_pylist()], pa.string()), pa.array(found, kind)], names=["page_id", "url", "host", "blocks"])
 
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, PARSED)
+CONTENT, PRESENT, SHOWN = range(3)
 
 
 def nodes(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """(host, path, shown, h): a row for each node of each page's tree of styles, with a check sum of its content (shown = 0) or of the sequence of its children (shown = 1)."""
+    """(host, path, kind, h, page): what each page shows of the nodes of its host's tree; page is a hash of the page."""
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[str, str, int, int]] = []
-            for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                site = host(u)
-                below: dict[str, int] = {}
-                content: dict[str, int] = {}
-                for path, text, _ in blocks(page or ""):
-                    up, _, last = path.rpartition("/")
-                    below[up] = zlib.crc32(last.encode(), below.get(up, 0))
-                    content[path] = zlib.crc32(text.encode("utf-8", "surrogatepass"), content.get(path, 0))
-                out += [(site, p, 0, h) for p, h in content.items()] + [(site, p, 1, h) for p, h in below.items()]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "shown", "h"])
-
-    return pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, "host string, path string, shown int, h long")
+            out: list[tuple] = []
+            for site, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sign = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+                out += [(site, p, k, h, sign) for p, k, h in styles([b for b in blocks(page or "") if b[2]])]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "path", "kind", "h", "page"])
+
+    return pages.select(host(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(run, "host string, path string, kind int, h long, page long")
 
 
 def style_tree(found: DataFrame) -> DataFrame:
-    """(host, path, pages, content, presentation) from nodes: pages that have the node, and the entropies of its content and presentation over them, from 0 (all alike) to 1 (all different; null: it has none)."""
-    n = found.groupBy("host", "path", "shown", "h").agg(F.count("*").alias("c"))
-    m = F.sum("c")
-    each = n.groupBy("host", "path", "shown").agg(m.alias("m"), F.when(m > 1, F.greatest(F.lit(0.0), 1 - F.sum(F.col("c") * F.ln("c")) / (m * F.ln(m)))).otherwise(1.0).alias("e"))
-    of = lambda k: F.max(F.when(F.col("shown") == k, F.col("e")))
-    return each.groupBy("host", "path").agg(F.max("m").alias("pages"), of(0).alias("content"), of(1).alias("presentation"))
+    """(host, path, pages, importance) of every node of the hosts' trees, from what their distinct pages show.
+
+    Entropies are relative to the logarithm of the node's pages m. A text on k of them has the entropy ln k / ln m and
+    leaves the rest as importance; content is the mean over all texts below the node. Presentation is the entropy of
+    the node's sequences of children, l of them: importance is (1 - GAMMA ** l) of it and GAMMA ** l of content, then
+    the mean with PRIOR pages of importance 1.
+    """
+    k = found.distinct().groupBy("host", "path", "kind", "h").agg(F.count("*").cast("double").alias("k"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
+    x, log = F.col("k"), F.col("k") * F.ln("k")
+    each = k.groupBy("host", "path").agg(of(CONTENT, x).alias("n"), of(CONTENT, log).alias("a"), of(PRESENT, x).alias("leaf"), of(SHOWN, x).alias("inner"), of(SHOWN, log).alias("b"), of(SHOWN, F.lit(1.0)).alias("l"))
+    m, inner = F.col("leaf"), F.col("inner")
+    told = F.col("n") - F.when(m > 1, F.col("a") / F.ln(m)).otherwise(0.0)
+    shown = F.when(inner > 1, 1 - F.col("b") / (inner * F.ln(inner))).otherwise(1.0)
+    each = each.select("host", "path", "n", told.alias("told"), F.greatest(m, inner).alias("m"), shown.alias("shown"), "l")
+    # the content of a node is that of all below it
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = each.where("n > 0").select("host", "n", "told", F.explode(up).alias("path")).groupBy("host", "path").agg((F.sum("told") / F.sum("n")).alias("content"))
+    own = F.pow(F.lit(GAMMA), F.col("l"))
+    blend = (1 - own) * F.col("shown") + own * F.coalesce("content", F.lit(1.0))
+    return each.join(below, ["host", "path"], "left").select("host", "path", F.col("m").cast("long").alias("pages"), ((F.col("m") * blend + PRIOR) / (F.col("m") + PRIOR)).alias("importance"))
+
+
+def chosen(found: list[tuple[str, str, int]], importance: dict[str, float]) -> list[str]:
+    """Texts of the blocks that stay: those of no branch that goes; of all that were not given away, if none would stay."""
+    article = any(kind == ARTICLE for _, _, kind in found)
+    free, kept = [], []
+    for path, text, kind in found:
+        if kind:
+            free.append(text)
+            least = min((importance.get(p, 1.0) for p in branches(path)), default=1.0) if importance else 1.0
+            if least * (INSIDE if kind == ARTICLE else OUTSIDE if article else 1.0) >= LOW:
+                kept.append(text)
+    return kept or free
 
 
 def extracted(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Where a page has an article (or main) element, its text is that of it, less the branches given away by tag or
-    name; elsewhere it is that of all other blocks, less the branches of low importance on the host (unless none
-    would be left). A null or empty page has an empty text; null URLs share the empty host; repeated rows repeat.
-    The nodes that go are broadcast if they are few, and joined by host otherwise.
+    The text is that of all blocks that neither tag or name give away nor the host's style tree finds unimportant
+    (unless none would be left: then only the former go). A null or empty page has an empty text; null URLs share the
+    empty host; repeated rows repeat, and count once in the tree. Low nodes are broadcast if they are few, and joined
+    by host otherwise.
     """
     common.small_batches(pages.sparkSession)
-    tree = style_tree(nodes(pages, html, url))
-    low = (F.col("pages") >= PAGES) & (F.coalesce("content", "presentation") < IMPORTANCE)
-    # one row for each host: the nodes of its tree that go
-    gone = common.written(tree.where(low).groupBy("host").agg(F.collect_set("path").alias("gone")), "site-gone")
-    size = gone.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "gone")) + 32)).first()[0] or 0
-    gone = F.broadcast(gone) if size <= BROADCAST else gone.hint("shuffle_merge")
-    out = parsed(pages, id_column, url, html).join(gone, "host", "left")
-    inside = F.filter("blocks", lambda b: b["kind"] == ARTICLE)
-    free = F.filter("blocks", lambda b: b["kind"] == OPEN)
-    kept = F.filter("blocks", lambda b: (b["kind"] == OPEN) & ~F.coalesce(F.array_contains(F.col("gone"), b["path"]), F.lit(False)))
-    main = F.when(F.size(inside) > 0, inside).when(F.size(kept) > 0, kept).otherwise(free)
-    text = F.array_join(F.transform(main, lambda b: b["text"]), " ")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    low = style_tree(nodes(pages, html, url)).where(F.col("importance") < LOW / OUTSIDE)
+    # one row for each host: the nodes of its tree that may go
+    low = common.written(low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("low")), "site-low")
+    size = low.agg(F.sum(F.length("host") + F.size("low") * 16 + F.length(F.concat_ws("", F.col("low.path"))) + 32)).first()[0] or 0
+    low = F.broadcast(low) if size <= BROADCAST else low.hint("shuffle_merge")
+    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+
+    def run(batches):
+        for batch in batches:
+            known: dict[str, dict] = {}
+            out = []
+            for name, page, nodes_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if name not in known:
+                    known[name] = {x["path"]: x["importance"] for x in nodes_.as_py() or ()}
+                out.append(" ".join(chosen(blocks(page or ""), known[name])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    met = rows.withColumn("host", host("url")).join(low, "host", "left").select("page_id", "url", "host", "html", "low")
+    return met.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,9 @@
 """op7: main text of pages."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 
 from terrapatch.llm import queries, sitetree
@@ -94,12 +98,68 @@ def test_no_page_is_emptied_by_repetition(spark):
     assert set(got.values()) == {"All pages are alike"}
 
 
-def test_entropies(spark):
-    found = spark.createDataFrame([("h", "/p", 0, i % 2) for i in range(8)] + [("h", "/q", 0, 1)] * 8 + [("h", "/r", 0, i) for i in range(8)] + [("h", "/p", 1, 5)] * 8, "host string, path string, shown int, h long")
-    got = {r["path"]: r for r in sitetree.style_tree(found).collect()}
-    assert got["/p"]["content"] == pytest.approx(1 / 3) and got["/p"]["presentation"] == 0
-    assert got["/q"]["content"] == 0 and got["/q"]["presentation"] is None
-    assert got["/r"]["content"] == 1 and got["/r"]["pages"] == 8
+def tree(rows):
+    """Importance of each host's nodes by their definition, from the blocks of its distinct pages."""
+    sites = {}
+    for u, h in {(re.sub(r"^\w+://([^/]*).*", r"\1", u), h) for u, h in rows}:
+        sites.setdefault(u, []).append([(p, t) for p, t, k in sitetree.blocks(h) if k])
+    out = {}
+    for name, found in sites.items():
+        paths = {q for page in found for p, _ in page for q in sitetree.branches(p)}
+        rest = {}
+        for p in paths:
+            on = [page for page in found if any(q == p for q, _ in page)]
+            texts_ = Counter(t for page in on for t in {t for q, t in page if q == p})
+            log = math.log(len(on)) if len(on) > 1 else 1
+            rest[p] = (sum(n * (1 - math.log(n) / log) for n in texts_.values()), sum(texts_.values()), len(on))
+        for p in paths:
+            shown = []
+            for page in found:
+                children, last = [], None
+                for q, _ in page:
+                    up = sitetree.branches(q)
+                    if p in up[:-1]:
+                        child = up[up.index(p) + 1]
+                        if child == q or child != last:
+                            children.append(child)
+                        last = child
+                    else:
+                        last = None
+                if children:
+                    shown.append(tuple(children))
+            below = [rest[q] for q in paths if p in sitetree.branches(q) and rest[q][1]]
+            content = sum(a for a, _, _ in below) / sum(n for _, n, _ in below)
+            c, m = Counter(shown), len(shown)
+            e = -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m) if m > 1 else 1
+            own = 1 - sitetree.GAMMA ** len(c)
+            m = max(m, rest[p][2])
+            out[name, p] = (m, (m * (own * e + (1 - own) * content) + sitetree.PRIOR) / (m + sitetree.PRIOR))
+    return out
+
+
+def test_tree_by_its_definition(spark):
+    rows = [(i, f"http://h{i % 3}/{i}", f"<div class=a>same</div><div class=b><ul>{'<li>x' * (i % 4)}<li>{i}</ul><p>{i // 2}</p>tail {i % 5}</div>" + "<article><p>one</p></article>" * (i % 2)) for i in range(24)]
+    rows += rows[:7]
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in sitetree.style_tree(sitetree.nodes(pages(spark, *rows), "html", "url")).collect()}
+    want = tree([(u, h) for _, u, h in rows])
+    assert set(got) == set(want)
+    for key, (m, x) in want.items():
+        assert got[key][0] == m and got[key][1] == pytest.approx(x)
+
+
+def test_the_tree_decides_inside_and_outside_of_articles(spark, monkeypatch):
+    """A teaser in an article does not hide the text beside it, and what every page repeats goes from articles too; without the tree, both stay."""
+    body = lambda i: f"<article class=teaser>Read more news</article><div class=story><p>Story {i}</p></div><article><p>Piece {i}</p><p class=s>Same line</p></article>"
+    rows = pages(spark, *[(i, f"http://one.example/{i}", body(i)) for i in range(40)])
+    assert texts(sitetree.extracted(rows)) == {i: f"Story {i} Piece {i}" for i in range(40)}
+    monkeypatch.setattr(sitetree, "LOW", 0.0)
+    assert texts(sitetree.extracted(rows))[7] == "Read more news Story 7 Piece 7 Same line"
+
+
+def test_copies_of_a_page_do_not_make_it_unimportant(spark):
+    rows = [(i, "http://one.example/", "<div><h1>Copied</h1><p>text</p></div>") for i in range(60)] + [(100 + i, "http://one.example/", f"<div><h1>T{i}</h1><p>text {i}</p></div>") for i in range(5)]
+    got = texts(sitetree.extracted(pages(spark, *rows)))
+    assert got[3] == "Copied text" and got[101] == "T1 text 1"
 
 
 def test_joined_nodes_equal_broadcast_ones(spark, monkeypatch):
