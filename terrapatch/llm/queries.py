@@ -90,6 +90,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_lm": op2_lm, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_suffixes": op6_suffixes, "op7_sitetree": op7_sitetree, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_minhash": op10_minhash}
 ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS sha, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+        ), f AS (
+            SELECT sha, payload_bytes, min(page_id) AS first FROM p GROUP BY sha, payload_bytes
+        )
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(sha, CAST(i // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - i % 8 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p JOIN f USING (sha, payload_bytes)
+    """,
     "op9_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -352,7 +352,11 @@ def base32(digits):
 
 
 def archived(pages: DataFrame, path: str, id_column: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
-    """Write a record for each page; of equal payloads of at least `least` bytes the page of smallest id is the response, and the others revisit it."""
+    """Write a record for each page; of equal payloads of at least `least` bytes the page of smallest id is the response, and the others revisit it.
+
+    A null html is an empty payload. Pages without an id are responses, and no page revisits them. Rows that repeat
+    the smallest id and the payload are responses each. An empty table writes no record. Other columns are not read.
+    """
     spark = pages.sparkSession
     register(spark)
     common.small_batches(spark)
@@ -376,15 +380,19 @@ def archived(pages: DataFrame, path: str, id_column: str = "page_id", url: str =
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a response's are those of the payload it holds."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a response's are those of the payload it holds.
+
+    Two scans with a pushed filter on the type: responses with their payloads, revisits by their headers alone, whose
+    blocks and all responses are stepped over. An archive without records gives no rows; records of pages without an id
+    have a null page_id; records that are repeated in the archive are repeated here.
+    """
     register(spark)
     number = lambda c: F.regexp_extract(F.col(c), r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
-    records = spark.read.format("warc").schema(READ).load(path)
-    held = F.col("record_type") == "response"
-    return records.select(
-        number("record_id").alias("page_id"),
-        F.when(held, F.length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
-        F.when(held, base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
+    records = lambda kind, columns: spark.read.format("warc").schema(columns).load(path).where(F.col("record_type") == kind)
+    held = records("response", "record_id string, record_type string, payload binary").select(
+        number("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
+    )
+    again = records("revisit", "record_id string, record_type string, payload_digest string, refers_to string, http_length long").select(
+        number("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
+    return held.unionByName(again)

@@ -47,6 +47,23 @@ def test_whole_table(spark):
     assert result(queries.op8_warc(spark, SF)) == brute(rows)
 
 
+def test_sql_says_the_same(spark):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
+    names = [c for c in queries.op8_warc(spark, SF).columns]
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE['op8_warc']})").fetchall()
+    assert result(queries.op8_warc(spark, SF)) == sorted(want)
+
+
+def test_revisits_are_read_without_payloads(spark, pages, tmp_path):
+    """Each of the two scans has its filter pushed to the source, and only that of responses asks for payloads."""
+    warc.archived(pages, str(tmp_path))
+    plan = warc.read_back(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "BatchScan" in line]
+    assert len(scans) == 2 and sum("payload#" in x for x in scans) == 1 and "Filter (" not in plan
+
+
 @pytest.mark.parametrize("least", [0, 10])
 def test_odd_rows(spark, pages, tmp_path, least):
     warc.archived(pages, str(tmp_path), least=least)
