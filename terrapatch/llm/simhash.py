@@ -9,16 +9,22 @@ key, the probes hold it under its key and under those with one set bit of the se
 cleared, so two fingerprints meet at a chain's start from exactly one side.  Longer chains
 are checked before the full distance is.
 
+A key that many fingerprints share goes on by the third segment, then by the fourth: each member is
+dealt to the variants of its segment with few bits flipped, so that those within the chain's budget
+meet in one.
+
 Fingerprints that share a key are not paired.  Each key's members are searched as a graph,
 and only the links by which the search reaches a member come out, one at most for each.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +38,9 @@ WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 #: Keys hold two segments of 13 bits, the number of the first in three more, and from this bit on the view.
 VIEW = 29
-#: Members of one key that one task holds; a larger key is dealt out in blocks that meet in pairs.
-KEY_BLOCK = 2048
+#: Members of one key that one task holds; a larger key is dealt out in blocks that meet in pairs. Keys of more than
+#: EXTEND members are first extended by the next segments of the ring, so that a member has a bounded number of rows.
+KEY_BLOCK, EXTEND = 2048, 16 * 2048
 
 
 def shingle_bounds(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,30 +126,37 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
 
 def links_of_views(prints: DataFrame) -> DataFrame:
     """Links (view, a, b) of distinct fingerprints (view, fp), those of each view on their own."""
-    keys, probes = [], []
-    fp = F.col("fp")
+    found = []
     for i in range(len(WIDTHS)):
         j = (i + 1) % len(WIDTHS)
-        seg = [F.shiftrightunsigned(fp, STARTS[k]).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1)) for k in (i, j)]
-        key = F.shiftleft(seg[0], 13).bitwiseOR(seg[1]).bitwiseOR(F.lit(i << VIEW - 3)).bitwiseOR(F.shiftleft(F.col("view").cast("long"), VIEW))
-        keys.append(F.struct(key.alias("key"), F.lit(0).alias("probe"), F.lit(i).alias("i")))
-        for b in range(WIDTHS[j]):
-            bit = F.shiftrightunsigned(seg[1], b).bitwiseAND(F.lit(1))
-            probes.append(F.when(bit == 1, F.struct((key - F.lit(1 << b)).alias("key"), F.lit(1).alias("probe"), F.lit(i).alias("i"))))
-    rows = prints.select("fp", F.explode(F.array_compact(F.array(*keys, *probes))).alias("k")).select("fp", "k.key", "k.probe", "k.i")
-    rows = common.written(rows, "simhash-keys")
-    # keys of one member link nothing, and large ones are dealt out in blocks
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.lit(1) - F.col("probe")).alias("own")).where("n > 1 AND own > 0")
-    sizes = common.written(sizes.withColumn("blocks", F.ceil(F.col("n") / KEY_BLOCK).cast("int")), "simhash-sizes")
-    met = rows.join(sizes.select("key", "blocks").hint("shuffle_merge"), "key")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    small = met.where("blocks = 1").select("fp", "key", "probe", "i", F.lit(0).alias("cell"))
-    # every two blocks of a large key, and each with itself, meet in a cell
-    big = met.where("blocks > 1").withColumn("mine", block)
-    big = big.select("fp", "key", "probe", "i", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least("mine", other) * F.col("blocks") + F.greatest("mine", other))).alias("cell"))
-    cells = small.unionByName(big)
+        key = f"(shiftleft({_bits(i)}, 13) | {_bits(j)} | {i << VIEW - 3}L | shiftleft(CAST(view AS BIGINT), {VIEW}))"
+        found.append(f"named_struct('key', {key}, 'probe', 0)")
+        found += [f"IF(shiftrightunsigned(fp, {STARTS[j] + b}) % 2 <> 0, named_struct('key', {key} - {1 << b}L, 'probe', 1), NULL)" for b in range(WIDTHS[j])]
+    rows = prints.select("fp", F.explode(F.expr(f"array_compact(array({', '.join(found)}))")).alias("k")).select("fp", "k.key", "k.probe", F.lit(0).cast("long").alias("cell"))
+    made = [common.written(rows, "simhash-keys")]
+    # keys of one member link nothing
+    sizes = made[0].groupBy("key", "cell").agg(F.count("*").alias("n"), F.sum(F.lit(1) - F.col("probe")).alias("own")).where("n > 1 AND own > 0").drop("own")
+    done = None
+    for level in range(1, len(WIDTHS) - 1):
+        made.append(common.written(sizes, "simhash-sizes"))
+        met = made[-2].join(made[-1].hint("shuffle_merge"), ["key", "cell"]).select("fp", "key", "cell", "n")
+        few = met.where(F.col("n") <= EXTEND)
+        done = few if done is None else done.unionByName(few)
+        if not made[-1].agg(F.coalesce(F.max("n"), F.lit(0)) > EXTEND).first()[0]:
+            break
+        # a large key goes on along the ring: members whose next segments keep the budget share a variant of them
+        made.append(common.written(met.where(F.col("n") > EXTEND).select("fp", "key", F.explode(_variants(level)).alias("cell")), "simhash-keys"))
+        sizes = made[-1].groupBy("key", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    else:
+        made.append(common.written(sizes, "simhash-sizes"))
+        done = done.unionByName(made[-2].join(made[-1].hint("shuffle_merge"), ["key", "cell"]).select("fp", "key", "cell", "n"))
+    # what is still large is dealt out in blocks: every two, and each with itself, meet
+    blocks = F.ceil(F.col("n") / KEY_BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.least(mine, other) * blocks + F.greatest(mine, other))
+    cells = done.select("fp", "key", "cell", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"))
     n = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = cells.repartition(int(n), "key", "cell").sortWithinPartitions("key", "cell")
+    dealt = cells.repartition(int(n), "key", "cell", "block").sortWithinPartitions("key", "cell", "block")
 
     def run(batches):
         for view, *key_rows in _groups(batches):
@@ -151,32 +165,48 @@ def links_of_views(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, view, np.int32)), *out.columns], names=["view", "a", "b"])
 
     out = common.written(dealt.mapInArrow(run, "view int, a long, b long").distinct(), "simhash-links")
-    common.forgotten(rows, sizes)
+    common.forgotten(*made)
     return out
 
 
+def _variants(level: int) -> Column:
+    """The cells of `fp` when its key goes on by one segment: the cell so far, and the segment as it is or with few bits flipped. Differences up to the chain's budget have a variant in common."""
+    cases = []
+    for i in range(len(WIDTHS)):
+        at = (i + 1 + level) % len(WIDTHS)
+        flips = -(-((level + 2) * BUDGET // len(WIDTHS)) // 2)
+        masks = [sum(1 << b for b in c) for r in range(flips + 1) for c in itertools.combinations(range(WIDTHS[at]), r)]
+        cases.append(f"WHEN {i} THEN transform(array({', '.join(f'{m}L' for m in masks)}), m -> shiftleft(cell, 13) | ({_bits(at)} ^ m))")
+    return F.expr(f"CASE (shiftrightunsigned(key, {VIEW - 3}) & 7) {' '.join(cases)} END")
+
+
+def _bits(i: int) -> str:
+    """SQL of a segment of `fp`."""
+    return f"(shiftrightunsigned(fp, {STARTS[i]}) & {(1 << WIDTHS[i]) - 1}L)"
+
+
 def _groups(batches):
-    """(view, fingerprints, whether each is a probe, segment) of each key and cell of sorted rows."""
+    """(view, fingerprints, number of the first segment) of each key, cell and block of sorted rows."""
     rest = None
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in range(5)]
+        cols = [batch.column(k).to_numpy() for k in range(4)]
         if rest is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-        key, cell = cols[1], cols[4]
-        new = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        fp, key = cols[:2]
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[1:]], axis=0)) + 1
         edges = np.concatenate([[0], new])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(key[a]) >> VIEW, cols[0][a:b], cols[2][a:b], int(cols[3][a])
+            yield int(key[a]) >> VIEW, fp[a:b], int(key[a]) >> VIEW - 3 & 7
         rest = [x[edges[-1] :] for x in cols] if len(key) else None
     if rest is not None and len(rest[0]):
-        yield int(rest[1][0]) >> VIEW, rest[0], rest[2], int(rest[3][0])
+        yield int(rest[1][0]) >> VIEW, rest[0], int(rest[1][0]) >> VIEW - 3 & 7
 
 
-def _search(fp: np.ndarray, probe: np.ndarray, i: int):
+def _search(fp: np.ndarray, i: int):
     """Links by which a search from each unreached fingerprint reaches others of the key."""
     if len(fp) < 2:
         return None
-    fp, at = np.unique(fp.view(np.uint64), return_index=True)
+    fp = np.unique(fp.view(np.uint64))
     if len(fp) < 2:
         return None
     left, found = fp, []

@@ -79,10 +79,11 @@ def test_long_texts_are_whole(spark, monkeypatch):
     assert got & (2**64 - 1) == fingerprint(text)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_links_connect_all_that_is_within_the_budget(spark, monkeypatch, block):
-    """Random and crowded fingerprints; with small blocks, keys are dealt out in cells."""
+@pytest.mark.parametrize("block, extend", [(2048, 32768), (7, 32768), (7, 50)])
+def test_links_connect_all_that_is_within_the_budget(spark, monkeypatch, block, extend):
+    """Random and crowded fingerprints; with small bounds, keys are extended along the ring and dealt out in blocks."""
     monkeypatch.setattr(simhash, "KEY_BLOCK", block)
+    monkeypatch.setattr(simhash, "EXTEND", extend)
     r = random.Random(block)
     values = {r.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1}
     for v in list(values)[:20]:
