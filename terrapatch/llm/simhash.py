@@ -378,7 +378,8 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     """One row, with all its columns, of each group: that of the smallest id (null ids last; of repeated ids, any one).
 
     Documents are linked if their sets of n-word shingles are 0.8 alike or more, and in a group if links connect them.
-    Texts without words are one group.
+    Null, empty and blank texts have no words and are one group; a text of fewer words than n is one shingle. Repeated
+    rows are copies. An empty table stays empty.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
