@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapatch import settings
+from terrapatch.operators.shared import written
 from terrapatch.plans.landscape import Landscape
 
 
@@ -36,7 +37,7 @@ def matrix(landscape: Landscape, class_metrics=None, landscape_metrics=None, cla
 class SpatialSignatureAnalysis:
     def __init__(self, landscape: Landscape, **options):
         self.keys = landscape.keys
-        self.metrics_df = matrix(landscape, **options)
+        self.metrics_df = written(matrix(landscape, **options), "signature")  # scaling, components and clusters read it again and again
         self.names = [c for c in self.metrics_df.columns if c not in self.keys]
 
     def scaled(self, preprocess: bool = True, impute: bool = False) -> DataFrame:
@@ -78,6 +79,7 @@ class SpatialSignatureAnalysis:
         """Keys and, for every k, the cluster of each landscape as column k_<k>. Where fewer landscapes differ than k, there are as many clusters as those."""
         df = self.decompose(**options) if decompose else self.scaled(**options)
         names = [c for c in df.columns if c not in self.keys]
+        df = written(df, "signature")  # each fit reads it several times
         out = VectorAssembler(inputCols=names, outputCol="features").transform(df).select(*self.keys, "features")
         most = df.select(*names).distinct().count()
         for k in k_range:

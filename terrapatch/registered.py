@@ -160,4 +160,4 @@ query("pca_loadings")(_loadings)
 query("cluster_kmeans")(lambda s, d: signature(s, d).clusters())
 query("cluster_gmm")(lambda s, d: signature(s, d).clusters((2, 3), method="gmm"))
 query("cluster_sample")(_sample)
-query("metric_labels")(lambda s, d: s.createDataFrame(sorted(settings.LABELS.items()), "metric string, label string"))
+query("metric_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{label}')" for m, label in sorted(settings.LABELS.items())) + ") AS t(metric, label)")(lambda s, d: s.createDataFrame(sorted(settings.LABELS.items()), "metric string, label string"))

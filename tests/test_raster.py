@@ -305,3 +305,37 @@ def test_registered_queries_of_large_zones_have_their_patches(spark):
             if "class_val" in r:
                 assert r["largest_patch_index"] == pytest.approx(100 * max(n) / total, abs=1e-5)
         assert {s[:-1] for s in seen} == set(rasters) and len(seen) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["w", "h", "a", "kind", "row", "col", "n", "patch", "resolution"])
+def test_attributes_of_any_name(spark, name):
+    """The keys' names do not meet those of inner columns."""
+    one, two = np.array([[1, 1, 2], [1, 2, 2]]), np.array([[1, 2, 2], [2, 2, 2]])
+    multi = A.MultiLandscape([R.from_array(spark, v) for v in (one, two)], name, ["x", "y"], (2, 2))
+    got = {(r[name], r.class_val): (r.total_area, r.number_of_patches) for r in multi.class_metrics_df(["total_area", "number_of_patches"]).collect()}
+    assert got == {(k, c): (pytest.approx((v == c).sum() * 4 / 1e4), 1) for k, v in (("x", one), ("y", two)) for c in (1, 2)}
+
+
+def test_names_that_results_use_are_refused(spark):
+    cells = R.from_array(spark, np.ones((2, 2)))
+    for name in ("class_val", "patch_id", "total_area"):
+        with pytest.raises(ValueError, match="cannot be names"):
+            A.MultiLandscape([cells], name, ["x"], (1, 1))
+
+
+def test_sums_and_entropies_build_no_patches(spark, monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("patches were built")
+
+    ls = landscape(spark, np.random.default_rng(3).integers(1, 4, (9, 9)))
+    monkeypatch.setattr(ls, "_patches", never)
+    monkeypatch.setattr(ls, "_merges", never)
+    row = ls.landscape_metrics_df(["entropy", "contagion", "total_edge", "landscape_shape_index", "total_area"]).first()
+    assert row.total_area == pytest.approx(81 / 1e4) and 0 < row.entropy <= math.log2(3)
+    assert ls.class_metrics_df(["total_area", "proportion_of_landscape", "edge_density"]).count() == 3
+
+
+def test_empty_raster(spark):
+    cells = R.from_array(spark, np.ones((2, 2))).limit(0)
+    ls = Landscape(cells, (1, 1))
+    assert ls.patch_metrics_df().collect() == [] and ls.class_metrics_df().collect() == [] and ls.landscape_metrics_df(["entropy"]).collect() == []
