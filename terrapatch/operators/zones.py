@@ -80,20 +80,32 @@ def by_grid(cells: DataFrame, frame: Frame, num_zone_cols=None, num_zone_rows=No
     return cells.withColumn(key, (r * nc + c).cast("int"))
 
 
+#: Columns of one row of a raster that meet the zones' spans together.
+CHUNK = 256
+
+
 def by_polygons(cells: DataFrame, frame: Frame, zones, key: str = "zone") -> DataFrame:
-    """Cells whose centre lies in each polygon (GeoJSON or WKT; even-odd rule), behind the test of its bounding box. Zones are {name: polygon}, or a list, whose names count from 0."""
+    """Cells whose centre lies in each polygon (GeoJSON or WKT; even-odd rule). Zones are {name: polygon}, or a list, whose names count from 0.
+
+    Edges are a table: where they cross a row of cells they bound the spans of that row that are inside, which meet
+    the cells by row and chunk of columns. The plan is the same for any number of zones and corners.
+    """
     zones = zones if isinstance(zones, dict) else dict(enumerate(zones))
-    x, y = frame.x(), frame.y()
-    found = []
-    for name, geometry in zones.items():
-        shape = rings(geometry)
-        xs, ys = [p[0] for ring in shape for p in ring], [p[1] for ring in shape for p in ring]
-        box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
-        edges = [(*a, *b) for ring in shape for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a[1] != b[1]]
-        crossed = F.aggregate(
-            F.array(*(F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(e, ("x1", "y1", "x2", "y2"), strict=True))) for e in edges)),
-            F.lit(0),
-            lambda n, e: n + F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0),
-        )
-        found.append(F.when(box & (crossed % 2 == 1), F.lit(str(name))))
-    return cells.withColumn(key, F.explode(F.array_compact(F.array(*found))))
+    edges = [(str(name), *map(float, (*a, *b))) for name, geometry in zones.items() for ring in rings(geometry) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a[1] != b[1]]
+    w, h = map(float, frame.res)
+    found = cells.sparkSession.createDataFrame(edges, "tp_zone string, x1 double, y1 double, x2 double, y2 double")
+    first = F.greatest(F.lit(0), F.floor((F.lit(float(frame.y0)) - F.greatest("y1", "y2")) / h) - 1).cast("int")
+    last = F.least(F.lit(frame.height - 1), F.floor((F.lit(float(frame.y0)) - F.least("y1", "y2")) / h) + 1).cast("int")
+    found = found.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    y = frame.y()
+    found = found.where((F.col("y1") > y) != (F.col("y2") > y)).select("tp_zone", "row", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("c"))
+    crossed = found.groupBy("tp_zone", "row").agg(F.sort_array(F.collect_list("c")).alias("c"))  # as many as the zone has edges
+    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda k: F.struct(F.get("c", 2 * k).alias("low"), F.get("c", 2 * k + 1).alias("high")))
+    spans = crossed.select("tp_zone", "row", F.explode(spans).alias("tp_span"))
+    at = lambda x: F.floor((x - F.lit(float(frame.x0))) / w / CHUNK).cast("int")
+    begin, end = F.greatest(F.lit(0), at(F.col("tp_span.low"))), F.least(F.lit(frame.width // CHUNK), at(F.col("tp_span.high")))
+    spans = spans.where(begin <= end).withColumn("tp_chunk", F.explode(F.sequence(begin, end)))
+    x = frame.x()
+    met = cells.withColumn("tp_chunk", F.floor(F.col("col") / CHUNK).cast("int")).join(spans, ["row", "tp_chunk"])
+    inside = met.where((x >= F.col("tp_span.low")) & (x < F.col("tp_span.high")))
+    return inside.withColumn(key, F.col("tp_zone")).select(*cells.columns, key)

@@ -339,3 +339,30 @@ def test_empty_raster(spark):
     cells = R.from_array(spark, np.ones((2, 2))).limit(0)
     ls = Landscape(cells, (1, 1))
     assert ls.patch_metrics_df().collect() == [] and ls.class_metrics_df().collect() == [] and ls.landscape_metrics_df(["entropy"]).collect() == []
+
+
+def test_many_polygons_equal_the_even_odd_rule(spark):
+    """Zones that overlap, reach out of the raster, have holes, and cross chunks of columns."""
+    rng = np.random.default_rng(8)
+    frame = Z.Frame(600, 9, (2.0, 3.0), x0=-50.0, y0=7.0)
+    cells = R.from_array(spark, np.ones((9, 600)))
+    zones = {}
+    for i in range(12):
+        c, n = rng.uniform([-100, -25], [1200, 10]), rng.integers(3, 9)
+        outer = [(float(c[0] + rng.uniform(-400, 400)), float(c[1] + rng.uniform(-12, 12))) for _ in range(n)]
+        hole = [(float(c[0] + dx), float(c[1] + dy)) for dx, dy in ((-20, -3), (20, -3), (0, 5))]
+        zones[f"z{i}"] = {"type": "Polygon", "coordinates": [[*outer, outer[0]], [*hole, hole[0]]]}
+    got = {(r.zone, r.row, r.col) for r in Z.by_polygons(cells, frame, zones).collect()}
+    want = set()
+    for name, geometry in zones.items():
+        for r in range(9):
+            for c in range(600):
+                x, y, inside = -50 + (c + 0.5) * 2, 7 - (r + 0.5) * 3, False
+                for ring in geometry["coordinates"]:
+                    for (x1, y1), (x2, y2) in itertools.pairwise(ring):
+                        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                            inside = not inside
+                if inside:
+                    want.add((name, r, c))
+    assert got == want and len(want) > 1000
+    assert Z.by_polygons(cells, frame, []).collect() == []
