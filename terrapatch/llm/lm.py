@@ -1,8 +1,8 @@
 """Language-model scores by a causal self-attention model on subword ids.
 
-The model is trained in numpy: a sample gives the classes of tokens and where the weights
-begin, then every partition trains on a fixed share of its documents, which grows with the
-corpus, and the weights are averaged by the tokens they have seen.  A token's
+The model is trained in numpy: neighbours counted over the whole corpus give the classes of
+tokens, a sample gives where the weights begin, then every partition trains on all of its
+documents, and the weights are averaged by the tokens they have seen.  A token's
 query looks back over a window of earlier tokens; what it gathers, with the token itself and
 the one before, predicts the class of the next token, and counts over the whole corpus
 predict the token within its class.  Texts are scored in windows that overlap: every token
@@ -10,8 +10,10 @@ is scored once, with at least half a window before it where the text has as much
 
 A word's probability is that of its subwords, mixed (if training has the word) with that of
 its first subword times the word's share of all training words that begin so, and with its
-relative frequency; the three weights are fitted by EM.  Counts of frequent words are at
-hand; those of others come by a join, with the logs that the mixture needs of each occurrence.
+relative frequency; the three weights are fitted by EM on all documents that the weights did
+not begin with, by counts without the document itself, each word as the network saw it before
+it trained on it.  Counts of frequent words are at hand; those of others come by a join, with
+the logs that the mixture needs of each occurrence.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrapatch.llm import bpe, common, words
 
-#: Training documents (of least hash of the id) and subwords of them that the network begins with, at most.
+#: Training documents (of least hash of the id) and subwords of them that the network's weights begin with, at most.
 SAMPLE_DOCS, SAMPLE_TOKENS = 3000, 800_000
 #: Earlier tokens that are seen at least, and tokens that a window scores.
 CONTEXT, SCORED = 32, 32
@@ -39,8 +41,13 @@ DA, DC, DP, SINGLE, OWN = 16, 16, 8, 448, 4096
 GROUPS, MEMBERS = 24, 24
 CLASSES = GROUPS * MEMBERS
 EPOCHS, BATCH = 5, 64
-#: Step of the pass over a share of the training documents, one in SHARE by hash, and parts in which averages are made.
-PASS_RATE, SHARE, PARTS = 0.004, 16, 64
+#: Step of the pass over the training documents, one in SHARE by hash (1: all), and parts in which sums are made.
+PASS_RATE, SHARE, PARTS = 0.004, 1, 64
+#: Log ratios of a word's probabilities are counted in cells of this width, from -EDGE to EDGE.
+CELL, EDGE = 0.25, 20.0
+CELLS = int(2 * EDGE / CELL)
+#: Distinct pairs of neighbours that a partition holds before it adds them up.
+PAIRS = 4_000_000
 #: Windows that are scored together.
 TOGETHER = 128
 
@@ -116,8 +123,8 @@ class Model:
                 np.matmul(sorted_[a:b], self.p["m"][g], out=z[a:b])
         return order, edges, z
 
-    def step(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Loss and gradients over whole windows."""
+    def step(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, logs: np.ndarray | None = None) -> tuple[float, dict]:
+        """Loss and gradients over whole windows; the log probability of each class is added to logs."""
         s, g, q, k, v = self.attend(x)
         n, flat = y.size, y.ravel()
         h = np.concatenate([g, self.p["c"].take(x, 0), self.p["l"].take(before, 0), np.ones((*x.shape, 1), np.float32)], -1).reshape(n, -1)
@@ -125,11 +132,14 @@ class Model:
         z = h @ self.p["g"]
         order, edges, y2 = self.members(h, group)
         loss, rows = 0.0, np.arange(n)
-        for part, goal in ((z, group), (y2, member[order])):
+        for part, goal, at in ((z, group, rows), (y2, member[order], order)):
             part -= part.max(1, keepdims=True) if np.ptp(part) > 60 else part.max()
             np.exp(part, out=part)
             part /= (part @ np.ones(part.shape[1], part.dtype))[:, None]
-            loss -= float(np.log(part[rows, goal] + 1e-12).mean())
+            hit = np.log(part[rows, goal] + 1e-12)
+            loss -= float(hit.mean())
+            if logs is not None:
+                logs[at] += hit
             part[rows, goal] -= 1
             part /= n
         grad = {"g": h.T @ z, "m": np.zeros_like(self.p["m"])}
@@ -166,8 +176,8 @@ class Adam:
         self.model, self.t = model, 0
         self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
 
-    def step(self, rate: float, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> None:
-        _, grad = self.model.step(x, before, y)
+    def step(self, rate: float, x: np.ndarray, before: np.ndarray, y: np.ndarray, logs: np.ndarray | None = None) -> None:
+        _, grad = self.model.step(x, before, y, logs)
         self.t += 1
         rate *= min(1.0, self.t / 20)
         rate *= np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
@@ -195,102 +205,252 @@ def inputs(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, cls: np.ndarr
     return np.stack([x, before, cls[ids]])
 
 
-def trained_on(scorer: Scorer, streams) -> int:
-    """Train the scorer's model in place, once over streams (3, n) of inputs, all of them; returns the number of ids."""
-    adam, width, seen = Adam(scorer.model), CONTEXT + SCORED, 0
+def training(scorer: Scorer, streams):
+    """Train the scorer's model in place, once over streams (3, n) of inputs, all of them; yields the log probabilities of the ids' classes, in order, each as it was before the step that it takes part in."""
+    adam, width = Adam(scorer.model), CONTEXT + SCORED
     rest = np.zeros((3, 0), np.int64)
     for stream in streams:
-        seen += stream.shape[1]
         rest = np.concatenate([rest, stream], 1)
         many = rest.shape[1] // (width * BATCH)
         for part in np.split(rest[:, : many * width * BATCH], many, 1) if many else ():
-            adam.step(PASS_RATE, *part.reshape(3, BATCH, width))
+            logs = np.zeros(part.shape[1])
+            adam.step(PASS_RATE, *part.reshape(3, BATCH, width), logs)
+            yield logs
         rest = rest[:, many * width * BATCH :]
     cut = rest.shape[1] // width * width
     for part in (rest[:, :cut].reshape(3, -1, width), rest[:, None, cut:]):
         if part.size:
-            adam.step(PASS_RATE * part[0].size / (width * BATCH), *part)
-    return seen
+            logs = np.zeros(part[0].size)
+            adam.step(PASS_RATE * part[0].size / (width * BATCH), *part, logs)
+            yield logs
+
+
+def trained_on(scorer: Scorer, streams) -> int:
+    """training() to its end; returns the number of ids."""
+    return sum(len(logs) for logs in training(scorer, streams))
+
 
+def cell_of(whole: np.ndarray, first: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Cell of each word by the log ratios of its second and third probability to the first. whole: log probability of its subwords; first: of the first one, less the log of heads; c: the word's count, or 0."""
+    log = np.log(np.maximum(c, 1))
+    i, j = (np.clip(np.floor((x - whole + EDGE) / CELL), 0, CELLS - 1).astype(np.int64) for x in (first + log, log - np.log(max(n, 1))))
+    return np.where(c > 0, i * CELLS + j, 0)
 
-def passed(train: DataFrame, name: str, vocab_path: str, scorer: Scorer) -> None:
-    """Put into the scorer the average of its model as trained by each partition of (text) on its documents. The model to begin with and the lexicon are files of the session."""
+
+def fitted(cells: np.ndarray) -> np.ndarray:
+    """Weights of the mixture by EM, from the number of words in each cell."""
+    weights = np.array([0.5, 0.3, 0.2])
+    at = np.flatnonzero(cells)
+    if not len(at):
+        return weights
+    many = cells[at] / cells.sum()
+    parts = np.exp(np.stack([np.zeros(len(at)), *((x + 0.5) * CELL - EDGE for x in np.divmod(at, CELLS))], 1))
+    for _ in range(40):
+        share = parts * weights
+        weights = np.clip(many @ (share / share.sum(1, keepdims=True)), 0.01, 1)
+        weights /= weights.sum()
+    return weights
+
+
+def spelled(e: Encoded, w: np.ndarray) -> pa.Array:
+    """The words of these numbers, as bytes."""
+    size = e.size[w]
+    raw = e.buf[words.gathered(e.bounds[w] + 1, size)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def added(batches):
+    """Rows (part, n, sums) with the sums of each part added up."""
+    total: dict = {}
+    for batch in batches:
+        for part, n, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            old = total.get(part, (0, 0.0))
+            total[part] = (old[0] + n, old[1] + np.frombuffer(sums))
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([n for n, _ in total.values()]), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], names=["part", "n", "sums"])
+
+
+def passed(train: DataFrame, name: str, vocab_path: str, scorer: Scorer, counts: DataFrame, cells: np.ndarray) -> None:
+    """Put into the scorer the average of its model as trained by each partition of (text, fresh) on its documents; the words of fresh ones are counted in cells.
+
+    The model to begin with, the lexicon and its counts are files of the session. A word's count is without its
+    occurrences in the text itself (of a text above CHUNK_BYTES: in the same part of it).
+    """
+    kind = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("sums", pa.binary()), ("word", pa.binary()), ("whole", pa.float32()), ("first", pa.float32()), ("own", pa.int64())])
 
     def run(batches):
         vocab, lexicon = bpe.vocabulary(vocab_path), bpe.Lexicon(SparkFiles.get(f"{name}.words"))
         with open(SparkFiles.get(f"{name}.first"), "rb") as f:
-            mine, last = pickle.load(f)  # noqa: S301 - a file of this run
+            mine, last, freq, heads, ends, total = pickle.load(f)  # noqa: S301 - a file of this run
+        waiting, sure = deque(), np.zeros(CELLS * CELLS)
 
         def streams():
             for batch in batches:
                 data, offs = common.texts(batch, 0)
-                for _, _, _, ids, edge, top in sequences(vocab, data, offs, last, lexicon):
+                fresh = batch.column(1).to_numpy(False)
+                for rows, e, name_, ids, edge, top in sequences(vocab, data, offs, last, lexicon):
                     if len(ids):
+                        waiting.append((fresh[rows], e, name_, ids, edge, top))
                         yield inputs(ids, edge[top], mine.table, mine.cls, last)
 
-        n = trained_on(mine, streams())
+        def counted(logs, fresh, e, name_, ids, edge, top):
+            """Count the words whose counts are at hand; a batch of the others."""
+            seg = np.repeat(np.arange(len(top) - 1), np.diff(top))
+            _, same, times = np.unique(seg * (len(e.size) + 1) + name_, return_inverse=True, return_counts=True)
+            own, head = times[same], edge[:-1]
+            logs = logs + mine.inner[ids]
+            whole, first = np.add.reduceat(logs, head), logs[head] - np.log(np.maximum(heads[ids[head]], 1))
+            c = np.append(np.where(e.rank >= 0, freq[np.maximum(e.rank, 0)] if len(freq) else 0, 0), ends)[name_]
+            rare = np.append(e.rank < 0, False)[name_]
+            at = np.flatnonzero(fresh[seg] & ~rare)
+            sure[:] += np.bincount(cell_of(whole[at], first[at], (c - own)[at], total), minlength=len(sure))
+            at = np.flatnonzero(fresh[seg] & rare)
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), spelled(e, name_[at]), pa.array(whole[at].astype(np.float32)), pa.array(first[at].astype(np.float32)), pa.array(own[at])], schema=kind)
+
+        n, heard, size = 0, [], 0
+        for logs in training(mine, streams()):
+            heard.append(logs)
+            size += len(logs)
+            n += len(logs)
+            while waiting and size >= len(waiting[0][3]):
+                chunk, logs = waiting.popleft(), np.concatenate(heard)
+                heard, size = [logs[len(chunk[3]) :]], size - len(chunk[3])
+                yield counted(logs[: len(chunk[3])], *chunk)
         if n:
             flat = np.array_split(np.concatenate([v.ravel() for v in mine.model.p.values()]).astype(np.float64) * n, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array(np.full(PARTS, n)), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "n", "sums"])
+            sums = [x.tobytes() for x in (*flat, sure)]
+            none = pa.nulls(len(sums), pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(np.full(len(sums), n)), pa.array(sums, pa.binary()), pa.nulls(len(sums), pa.binary()), none, none, pa.nulls(len(sums), pa.int64())], schema=kind)
 
-    def added(batches):
-        total: dict = {}
-        for batch in batches:
-            for part, n, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                old = total.get(part, (0, 0.0))
-                total[part] = (old[0] + n, old[1] + np.frombuffer(sums))
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([n for n, _ in total.values()]), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], names=["part", "n", "sums"])
-
-    kind = "part long, n long, sums binary"
-    found = train.mapInArrow(run, kind).repartition(PARTS, "part").mapInArrow(added, kind).collect()  # one model's size
+    out = common.written(train.mapInArrow(run, "part long, n long, sums binary, word binary, whole float, first float, own long"), "lm-pass")
+    found = out.where("part IS NOT NULL").select("part", "n", "sums").repartition(PARTS, "part").mapInArrow(added, "part long, n long, sums binary").collect()  # one model's size, and the cells
     if not found:
         return
-    flat, at = np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in sorted(found, key=lambda r: r["part"])]), 0
+    *found, last = sorted(found, key=lambda r: r["part"])
+    flat, at = np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in found]), 0
     for k, v in scorer.model.p.items():
         scorer.model.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
+    cells += np.frombuffer(last["sums"])
+    # the same cells of the words whose counts come by a join
+    rare = out.where("word IS NOT NULL").select("word", "whole", "first", "own").join(counts.withColumnRenamed("n", "all").hint("shuffle_merge"), "word")
+    c = F.col("all") - F.col("own")
+    n = counts.agg(F.sum("n")).first()[0]
+    i, j = (F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((x - F.col("whole").cast("double") + EDGE) / CELL))) for x in (F.col("first").cast("double") + F.log(c.cast("double")), F.log(c / F.lit(float(n)))))
+    for r in rare.groupBy(F.when(c > 0, i * CELLS + j).otherwise(0).alias("cell")).agg(F.count("*").alias("n")).collect():  # CELLS squared at most
+        cells[r["cell"]] += r["n"]
+    common.forgotten(out)
+
+
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by falling count, and the rank of each if among the SINGLE first, else -1."""
+    order = np.argsort(-counts, kind="stable")
+    rank = np.full(len(counts), -1, np.int64)
+    rank[order[:SINGLE]] = np.arange(len(order[:SINGLE]))
+    return order, rank
 
 
-def classified(ids: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
-    """Class of each token id: frequent ones have their own, others share one with tokens that follow alike."""
-    order = np.argsort(-counts, kind="stable")
-    out = np.zeros(size, np.int64)
+def neighbours(ids: np.ndarray, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A key for each frequent token next to a token: id * 2 * SINGLE + rank, plus SINGLE if the frequent one stands after it."""
+    a, b = np.flatnonzero(rank[before] >= 0), np.flatnonzero(rank[ids] >= 0)
+    return np.concatenate([ids[a] * (2 * SINGLE) + rank[before[a]], before[b] * (2 * SINGLE) + SINGLE + rank[ids[b]]])
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def neighbour_counts(train: DataFrame, name: str, vocab_path: str, rank: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of neighbours() over all texts and how often each occurs; their number is bounded by the vocabulary."""
+
+    def run(batches):
+        vocab, lexicon = bpe.vocabulary(vocab_path), bpe.Lexicon(SparkFiles.get(f"{name}.words"))
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fresh, size = [], 0
+
+        def merged():
+            each = [np.unique(x, return_counts=True) for x in fresh]
+            return summed(np.concatenate([key, *(k for k, _ in each)]), np.concatenate([n, *(c for _, c in each)]))
+
+        for batch in batches:
+            data, offs = common.texts(batch, 0)
+            row, tail = -1, last
+            for rows, _, _, ids, edge, top in sequences(vocab, data, offs, last, lexicon):
+                if len(ids):
+                    before = np.concatenate([[last], ids[:-1]])
+                    tops = edge[top]
+                    before[tops[:-1][tops[:-1] < tops[1:]]] = last
+                    if rows[0] == row:  # the text goes on
+                        before[0] = tail
+                    row, tail = int(rows[-1]), int(ids[-1])
+                    fresh.append(neighbours(ids, before, rank))
+                    size += len(fresh[-1])
+                if size > PAIRS:
+                    key, n = merged()
+                    fresh, size = [], 0
+        key, n = merged()
+        part = key // (2 * SINGLE) % PARTS
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+        cuts = [order[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([key[x].tobytes() for x in cuts], pa.binary()), pa.array([n[x].tobytes() for x in cuts], pa.binary())], names=["part", "keys", "n"])
+
+    def together(batches):
+        found: dict = {}
+        for batch in batches:
+            for part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+                found[part] = summed(*(np.concatenate(x) for x in zip(found[part], new, strict=True))) if part in found else new
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([k.tobytes() for k, _ in found.values()], pa.binary()), pa.array([c.tobytes() for _, c in found.values()], pa.binary())], names=["part", "keys", "n"])
+
+    kind = "part long, keys binary, n binary"
+    rows = train.mapInArrow(run, kind).repartition(PARTS, "part").mapInArrow(together, kind).toLocalIterator()
+    found = [(np.frombuffer(r["keys"], np.int64).astype(np.int32 if len(rank) * 2 * SINGLE < 2**31 else np.int64), np.frombuffer(r["n"], np.int64).astype(np.float32)) for r in rows]
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def classified(pairs: tuple[np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """Class of each token id: frequent ones have their own, others share one with tokens that follow alike. pairs: keys of neighbours() and their numbers; counts: of each id."""
+    order, rank = ranked(counts)
+    out = np.zeros(len(counts), np.int64)
     out[order[:SINGLE]] = np.arange(SINGLE)
     rest = order[SINGLE:]
-    rank = np.full(size, -1, np.int64)
-    rank[order[:SINGLE]] = np.arange(SINGLE)
-    # of the rest that occur: how often each frequent token stands before and after them
-    spot = np.full(size, -1, np.int64)
+    key, n = pairs
+    own, col = np.divmod(key, 2 * SINGLE)
+    # of the rest that occur: how often each frequent token stands before and after them, as roots on the sphere
+    spot = np.full(len(counts), -1, np.int64)
     spot[rest] = np.arange(len(rest))
-    known = np.unique(spot[ids[rank[ids] < 0]])
-    line = np.full(len(rest), -1, np.int64)
-    line[known] = np.arange(len(known))
-    f = np.zeros((len(known), 2 * SINGLE), np.float32)
-    for now, other, first in ((ids[1:], rank[ids[:-1]], 0), (ids[:-1], rank[ids[1:]], SINGLE)):
-        ok = (other >= 0) & (rank[now] < 0)
-        np.add.at(f, (line[spot[now[ok]]], first + other[ok]), 1)
-    np.sqrt(f, out=f)
-    norm = np.sqrt(np.einsum("ij,ij->i", f, f))
-    f, known = f[norm > 0], known[norm > 0]
-    f /= norm[norm > 0, None]
+    at = np.flatnonzero(rank[own] < 0)
+    at = at[np.argsort(spot[own[at]], kind="stable")]
+    known, row = np.unique(spot[own[at]], return_inverse=True)
+    f_col, f = col[at], np.sqrt(n[at] / np.bincount(row, n[at], len(known))[row]).astype(np.float32)
     group = np.arange(len(rest)) % (CLASSES - SINGLE)
     if len(known) > CLASSES:
-        centre = f[: CLASSES - SINGLE].copy()
+        top = np.searchsorted(row, np.arange(len(known) + 1))
+
+        def dense(a: int, b: int) -> np.ndarray:
+            held = np.zeros((b - a, 2 * SINGLE), np.float32)
+            held[row[top[a] : top[b]] - a, f_col[top[a] : top[b]]] = f[top[a] : top[b]]
+            return held
+
+        centre = dense(0, CLASSES - SINGLE)
         for _ in range(8):  # k-means on the sphere
-            near = np.argmax(f @ centre.T, 1)
-            centre = np.zeros_like(centre)
-            np.add.at(centre, near, f)
+            near = np.concatenate([np.argmax(dense(a, min(a + 4096, len(known))) @ centre.T, 1) for a in range(0, len(known), 4096)])
+            centre = np.bincount(near[row] * (2 * SINGLE) + f_col, f, centre.size).reshape(centre.shape).astype(np.float32)
             centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
         group[known] = near
     out[rest] = SINGLE + group
     # classes that neighbour alike stand in a group: along the main axis of their neighbours
-    profile = np.zeros((CLASSES, 2 * SINGLE), np.float32)
-    ok = rank[ids[:-1]] >= 0
-    np.add.at(profile, (out[ids[1:][ok]], rank[ids[:-1][ok]]), 1)
-    ok = rank[ids[1:]] >= 0
-    np.add.at(profile, (out[ids[:-1][ok]], SINGLE + rank[ids[1:][ok]]), 1)
-    profile = np.sqrt(profile / np.maximum(profile.sum(1, keepdims=True), 1))
+    profile = np.bincount(out[own] * (2 * SINGLE) + col, n, CLASSES * 2 * SINGLE).reshape(CLASSES, 2 * SINGLE)
+    profile = np.sqrt(profile / np.maximum(profile.sum(1, keepdims=True), 1)).astype(np.float32)
     profile -= profile.mean(0)
     axis = np.random.default_rng(3).normal(size=profile.shape[1]).astype(np.float32)
     for _ in range(20):
@@ -380,14 +540,16 @@ class Scorer:
         return out + self.inner[ids]
 
 
-def trained(ids: np.ndarray, bounds: np.ndarray, size: int, counts: np.ndarray, last: int) -> Scorer:
-    """Train on the sequences of a sample; counts: of each id over the whole training corpus."""
-    cls = classified(ids, size, np.bincount(ids, minlength=size) + counts / max(counts.sum(), 1))
+def trained(ids: np.ndarray, bounds: np.ndarray, size: int, counts: np.ndarray, last: int, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> Scorer:
+    """Train on the sequences of a sample; counts: of each id over the whole training corpus; pairs: of neighbours there, else of the sample."""
+    order, rank = ranked(counts)
+    if pairs is None:
+        pairs = np.unique(neighbours(ids, np.concatenate([[last], ids[:-1]]), rank), return_counts=True) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
+    cls = classified(pairs, counts)
     mass = np.bincount(cls, counts + 1.0, CLASSES)
     inner = np.log((counts + 1.0) / mass[cls]).astype(np.float32)
-    order = np.argsort(-(np.bincount(ids, minlength=size) + counts / max(counts.sum(), 1)), kind="stable")
     table = OWN + cls
-    table[order[:OWN]] = np.arange(OWN)
+    table[order[:OWN]] = np.arange(len(order[:OWN]))
     model = Model()
     width = CONTEXT + SCORED
     starts = np.arange(0, max(len(ids) - width, 0) + 1, width)
@@ -493,7 +655,7 @@ def sequences(vocab: bpe.Vocabulary, data: np.ndarray, offs: np.ndarray, last: i
 
 
 def learned(train: DataFrame, counts: DataFrame, vocab_path: str, n: int, id_column: str, column: str) -> str:
-    """Train on a sample and then on a share of all texts, compile the frequent words with their counts; returns the name of the file that holds all."""
+    """Train on all texts, from where a sample lets the weights begin, and compile the frequent words with their counts; returns the name of the file that holds all."""
     spark = train.sparkSession
     vocab = bpe.vocabulary(vocab_path)
     last = max(vocab.special.values(), default=vocab.size - 1)
@@ -506,55 +668,37 @@ def learned(train: DataFrame, counts: DataFrame, vocab_path: str, n: int, id_col
     end = counts.where(F.length("word") == 0).first()
     ends = int(end["n"]) if end else 0
     tokens[last] = heads[last] = ends
+    folder = tempfile.mkdtemp(prefix="lm-")
+    name = f"lm-{os.urandom(8).hex()}"
+    bpe.compile_lexicon([b" " + w for w, _ in found], vocab, f"{folder}/{name}.words")
+    spark.sparkContext.addFile(f"{folder}/{name}.words")
+    pairs = neighbour_counts(train.select(column), name, vocab_path, ranked(tokens)[1], last)
+    # where the network begins: the first documents by hash, but for a tenth
     sample = train.select(column, F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.xxhash64(id_column, column).alias("own")).orderBy("h", F.length(column)).limit(SAMPLE_DOCS)
-    kept, words_, bounds, tops, total = [], [], [0], [0], 0
-    names = []
+    kept, tops, names, total = [], [0], [], 0
     for r in sample.select(column, "own").toLocalIterator():
         if total >= SAMPLE_TOKENS:
             break
         data = np.frombuffer((r[0] or "").encode(), np.uint8)
-        for _, e, name, ids, edges, _ in sequences(vocab, data, np.array([0, len(data)]), last):
+        for _, _, _, ids, _, _ in sequences(vocab, data, np.array([0, len(data)]), last):
             kept.append(ids)
-            spell = [e.buf[e.bounds[i] + 1 : e.bounds[i + 1]].tobytes() if i < len(e.size) else b"" for i in name]
-            words_ += spell
-            bounds += (edges[1:] + total).tolist()
             total += len(ids)
         names.append(r[1])
         tops.append(total)
-    ids = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    tops_, edges_ = np.array(tops, np.int64), np.array(bounds, np.int64)
-    # the last tenth is held out, from the border of a word on: one long text may be all there is
-    cut = int(edges_[min(np.searchsorted(edges_, 0.9 * total), max(len(edges_) - 2, 0))])
-    head, tail_tops = np.append(tops_[tops_ < cut], cut), np.concatenate([[cut], tops_[tops_ > cut]])
-    scorer = trained(ids[:cut], head, vocab.size, tokens, last)
-    folder = tempfile.mkdtemp(prefix="lm-")
-    name = f"lm-{os.urandom(8).hex()}"
-    bpe.compile_lexicon([b" " + w for w, _ in found], vocab, f"{folder}/{name}.words")
+    ids, tops = np.concatenate(kept) if kept else np.zeros(0, np.int64), np.array(tops, np.int64)
+    cut = int(0.9 * total)
+    scorer = trained(ids[:cut], np.append(tops[tops < cut], cut), vocab.size, tokens, last, pairs)
+    begun = [h for h, top in zip(names, tops[:-1].tolist(), strict=True) if top < cut]
+    freq = np.array([c for _, c in found], np.int64)
     with open(f"{folder}/{name}.first", "wb") as f:
-        pickle.dump((scorer, last), f)
-    spark.sparkContext.addFile(f"{folder}/{name}.words")
+        pickle.dump((scorer, last, freq, heads, ends, n), f)
     spark.sparkContext.addFile(f"{folder}/{name}.first")
-    held_out = [h for h, top in zip(names, tops[:-1], strict=True) if top >= cut]
     own = F.xxhash64(id_column, column)
-    passed(train.where((F.pmod(own, F.lit(SHARE)) == 0) & ~own.isin(held_out)).select(column), name, vocab_path, scorer)
-    # EM for the mixing weights on the sample's last tenth, by counts of all its words without that tenth
-    weights = np.array([0.5, 0.3, 0.2])
-    held = ids[cut:]
-    tail = scorer.logs(held, tail_tops - cut, last, ids[max(tops_[tops_ <= cut][-1], cut - CONTEXT - SCORED) : cut])
-    if len(tail):
-        edge = edges_[np.searchsorted(edges_, cut) :] - cut
-        spelt = words_[len(words_) - len(edge) + 1 :]
-        own = Counter(spelt)
-        asked = spark.createDataFrame([(bytearray(w),) for w in own], "word binary")
-        freq = {bytes(r["word"]): r["n"] - own[bytes(r["word"])] for r in counts.join(F.broadcast(asked), "word", "left_semi").collect()}
-        c = np.array([max(freq.get(w, 0), 0) for w in spelt], np.float64)
-        parts = np.exp(mixture(tail, edge, c, heads[held[edge[:-1]]], n))
-        for _ in range(40):
-            share = parts * weights
-            weights = np.clip((share / np.maximum(share.sum(1, keepdims=True), 1e-300)).mean(0), 0.01, 1)
-            weights /= weights.sum()
+    cells = np.zeros(CELLS * CELLS)
+    passed(train.where(F.pmod(own, F.lit(SHARE)) == 0).select(column, (~own.isin(begun)).alias("fresh")), name, vocab_path, scorer, counts, cells)
+    weights = fitted(cells)
     with open(f"{folder}/{name}.model", "wb") as f:
-        pickle.dump((scorer, np.array([c for _, c in found], np.int64), heads, ends, weights, last), f)
+        pickle.dump((scorer, freq, heads, ends, weights, last), f)
     spark.sparkContext.addFile(f"{folder}/{name}.model")
     return name
 
@@ -624,11 +768,8 @@ def scored(docs: DataFrame, vocab_path: str, train=None, id_column: str = "doc_i
                         w, first = name_[at], edge[:-1][at]
                         alone = parts[at, 0]
                         each = np.logaddexp(np.log(weights[1]) + logs[first] - np.log(np.maximum(heads[ids[first]], 1)), np.log(weights[2] / max(n, 1)))
-                        size = e.size[w]
-                        raw = e.buf[words.gathered(e.bounds[w] + 1, size)]
-                        spell = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
                         none = pa.nulls(len(w), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(number + rows_[seg[at]]), none, none, none, pa.nulls(len(w), pa.float64()), pa.nulls(len(w), pa.float64()), spell, pa.array(alone.astype(np.float32)), pa.array(each.astype(np.float32))], schema=kind)
+                        yield pa.RecordBatch.from_arrays([pa.array(number + rows_[seg[at]]), none, none, none, pa.nulls(len(w), pa.float64()), pa.nulls(len(w), pa.float64()), spelled(e, w), pa.array(alone.astype(np.float32)), pa.array(each.astype(np.float32))], schema=kind)
             yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(k)), batch.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.nulls(k, pa.binary()), pa.nulls(k, pa.float32()), pa.nulls(k, pa.float32())], schema=kind)
             number += k
 

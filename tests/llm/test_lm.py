@@ -248,3 +248,55 @@ def test_a_pass_uses_every_id(scorer):
     streams[-1] = streams[-1][:, : n - 1000 * (len(streams) - 1)]
     assert lm.trained_on(mine, streams) == n
     assert any((mine.model.p[k] != s.model.p[k]).any() for k in s.model.p)
+
+
+def test_all_training_texts_teach_the_model(spark, monkeypatch):
+    """With a sample of three documents, the pass trains on all, the mixture is fitted on every word of those that the weights did not begin with, and the way a count is looked up does not matter."""
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 3)
+    seen, cells = [], []
+    monkeypatch.setattr(lm, "passed", lambda train, *rest, real=lm.passed: (seen.append((train.count(), train.where("fresh").count())), real(train, *rest), cells.append(rest[-1])))
+    docs = frame(spark, [*(f"{chained(i, 80)} {passage(2000 + i // 2, 3)}" for i in range(60)), None, ""])
+    lm.scored(docs, PATH, F.col("doc_id") < 54)
+    assert seen == [(54, 54 - 3)]
+    assert cells[0].sum() == (54 - 3) * (80 + 3 + 1)
+    monkeypatch.setattr(bpe, "SHARE", 0.5)  # no word is frequent
+    lm.scored(docs, PATH, F.col("doc_id") < 54)
+    assert np.abs(cells[1] - cells[0]).sum() <= 0.02 * cells[0].sum()
+
+
+def test_weights_are_fitted_on_counts_without_the_text_itself():
+    """Cells against the ratios themselves, and their EM against one over the words."""
+    r = np.random.default_rng(0)
+    whole, first, c = r.normal(-9, 3, 4000), r.normal(-8, 2, 4000), r.integers(0, 50, 4000)
+    cells = np.bincount(lm.cell_of(whole, first, c, 5000), minlength=lm.CELLS**2)
+    p = np.stack([np.exp(whole), np.exp(first) * c, c / 5000], 1)
+    w = np.array([0.5, 0.3, 0.2])
+    for _ in range(40):
+        share = p * w
+        w = np.clip((share / share.sum(1, keepdims=True)).mean(0), 0.01, 1)
+        w /= w.sum()
+    assert lm.fitted(cells) == pytest.approx(w, abs=0.01)
+    assert lm.fitted(np.zeros(lm.CELLS**2)).sum() == pytest.approx(1)
+
+
+def test_neighbours_are_counted_over_all_texts(spark, monkeypatch):
+    """Against a plain loop; texts begin after the last id, and a text in parts goes on."""
+    found = []
+    monkeypatch.setattr(lm, "neighbour_counts", lambda *a, real=lm.neighbour_counts: found.append((a[3], a[4], real(*a))) or found[-1][2])
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 3)
+    texts = [*(chained(i, 60) for i in range(40)), None, "", chained(99, 330_000)]
+    assert len(texts[-1]) > 2_000_000
+    lm.scored(frame(spark, texts).repartition(3), PATH)
+    rank, last, (key, n) = found[0]
+    spell, held, want = Tokenizer.from_file(PATH), {}, Counter()
+    for t in texts:
+        ids = [last]
+        for w in words_of(t)[:-1]:
+            ids += held.get(w) or held.setdefault(w, spell.encode(" " + w, add_special_tokens=False).ids)
+        ids.append(last)
+        for (a, b), k in Counter(zip(ids[:-1], ids[1:], strict=True)).items():
+            if rank[a] >= 0:
+                want[b * 2 * lm.SINGLE + int(rank[a])] += k
+            if rank[b] >= 0:
+                want[a * 2 * lm.SINGLE + lm.SINGLE + int(rank[b])] += k
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want
