@@ -25,9 +25,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id, with all its columns.
 
+    Links are those of op4_simhash, and besides those between texts whose five-word shingles are 0.8 alike or more.
     Null, empty and blank texts are one group, repeated rows are copies, null ids come last; an empty table stays empty.
     """
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, by_prints=True)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

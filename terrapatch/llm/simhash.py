@@ -41,6 +41,8 @@ VIEW = 29
 #: Members of one key that one task holds; a larger key is dealt out in blocks that meet in pairs. Keys of more than
 #: EXTEND members are first extended by the next segments of the ring, so that a member has a bounded number of rows.
 KEY_BLOCK, EXTEND = 2048, 16 * 2048
+#: Shingles whose bits are added up at once.
+BITS = 1 << 15
 
 
 def shingle_bounds(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,22 +85,27 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, n: int):
         carry = b" ".join(carry)
 
 
+def prints_of(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text, as signed 64 bits."""
+    rows = len(offs) - 1
+    ones, total = np.zeros((rows, 64), np.int64), np.zeros(rows, np.int64)
+    for seg_rows, hashes, segments in shingle_hashes(data, offs, n):
+        for a in range(0, len(hashes), BITS):
+            h, of = hashes[a : a + BITS], segments[a : a + BITS]
+            heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            row = seg_rows[of[heads]]
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[row] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+            total[row] += np.diff(np.append(heads, len(of)))
+    mark = (2 * ones > total[:, None]).astype(np.uint8)
+    value = np.packbits(mark, axis=1, bitorder="little").view("<u8")[:, 0] if rows else np.zeros(0, np.uint64)
+    return value.view(np.int64)
+
+
 def fingerprints(batches, column: int = 1, n: int = SHINGLE):
     """Rows (id, fingerprint as signed 64 bits) of batches (id, text)."""
     for batch in batches:
-        data, offs = common.texts(batch, column)
-        rows = len(offs) - 1
-        ones, total = np.zeros((rows, 64), np.int64), np.zeros(rows, np.int64)
-        for seg_rows, h, of in shingle_hashes(data, offs, n):
-            if len(h):
-                heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                row = seg_rows[of[heads]]
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones[row] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-                total[row] += np.diff(np.append(heads, len(of)))
-        mark = (2 * ones > total[:, None]).astype(np.uint8)
-        value = np.packbits(mark, axis=1, bitorder="little").view("<u8")[:, 0] if rows else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints_of(*common.texts(batch, column), n))], names=["doc_id", "fp"])
 
 
 def _ring(x):
@@ -374,26 +381,41 @@ def alike_links(keys: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = COPY_SHINGLE) -> DataFrame:
+def print_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes (node, fp) whose fingerprints are equal or within the budget: each fingerprint's least node stands for it."""
+    rows = common.written(rows.distinct(), "copies-prints")
+    first = common.written(rows.groupBy("fp").agg(F.min("node").alias("least")), "copies-first")
+    equal = rows.join(first.hint("shuffle_merge"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, other = (first.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")).hint("shuffle_merge") for c in "ab")
+    near = links(first.select("fp")).join(one, "a").join(other, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    out = common.written(equal.unionByName(near), "copies-links")
+    common.forgotten(rows, first)
+    return out
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "text", n: int = COPY_SHINGLE, by_prints: bool = False) -> DataFrame:
     """One row, with all its columns, of each group: that of the smallest id (null ids last; of repeated ids, any one).
 
-    Documents are linked if their sets of n-word shingles are 0.8 alike or more, and in a group if links connect them.
-    Null, empty and blank texts have no words and are one group; a text of fewer words than n is one shingle. Repeated
-    rows are copies. An empty table stays empty.
+    Documents are linked if their sets of n-word shingles are 0.8 alike or more and, if by_prints, also as near_duplicates()
+    links them: by fingerprints at a distance of at most 4. They are in a group if links of either kind connect them. Null,
+    empty and blank texts have no words and are one group; a text of fewer words than n is one shingle. Repeated rows are
+    copies. An empty table stays empty.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    names = [*docs.columns, "tp_node", "tp_size", "tp_keys"]
-    where, schema = docs.columns.index(column), T.StructType([*docs.schema]).add("tp_node", "long").add("tp_size", "long").add("tp_keys", T.ArrayType(T.LongType()))
+    names = [*docs.columns, "tp_fp", "tp_node", "tp_size", "tp_keys"]
+    where, schema = docs.columns.index(column), T.StructType([*docs.schema]).add("tp_fp", "long").add("tp_node", "long").add("tp_size", "long").add("tp_keys", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            h, bounds = shingle_sets(*common.texts(batch, where), n)
+            data, offs = common.texts(batch, where)
+            fp = prints_of(data, offs) if by_prints else np.zeros(batch.num_rows, np.int64)
+            h, bounds = shingle_sets(data, offs, n)
             node = [xxhash.xxh64_intdigest(h[a:b].tobytes(), SEED) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             keys, size = set_keys(h, bounds), np.diff(bounds)
-            offs = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size.astype(np.int64)), keys], names=names)
+            tops = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(tops), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size.astype(np.int64)), keys], names=names)
 
     rows = common.written(docs.mapInArrow(run, schema).withColumn("tp_uid", F.monotonically_increasing_id()), "copies-rows")
     name = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("tp_uid").alias("uid"))
@@ -404,6 +426,8 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     keys = common.written(keys.select("node", F.col("tp_uid").alias("uid"), F.col("tp_size").alias("size"), F.explode("tp_keys").alias("key")), "copies-keys")
     links_ = alike_links(keys, rows.select(F.col("tp_uid").alias("uid"), F.col(f"`{column}`").alias("text")), n)
     common.forgotten(keys)
+    if by_prints:
+        links_ = links_.unionByName(print_links(rows.select(F.col("tp_node").alias("node"), F.col("tp_fp").alias("fp"))))
     groups = graph.components(links_, "a", "b")
     keep = nodes.join(groups.hint("shuffle_merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     keep = common.written(keep.select(F.col("least.uid").alias("tp_uid")), "copies-kept")

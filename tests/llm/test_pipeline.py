@@ -61,6 +61,31 @@ def test_near_copies_go_and_others_stay(stages):
     assert len(wrong) <= 0.02 * len(rows)
 
 
+def test_of_each_component_of_fingerprints_one_stays(spark, stages):
+    """The method of op4: what its fingerprints link goes, on the table and where the sets of five words are less alike than 0.8; unlike texts stay."""
+    from terrapatch.llm import simhash
+
+    from .conftest import frame
+    from .test_simhash import fingerprint
+
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(stages[1]).collect()}
+    left = [component[r["doc_id"]] for r in stages[2].select("doc_id").collect()]
+    assert len(left) == len(set(left))
+    pairs, seed = [], 3000
+    while len(pairs) < 3:
+        seed += 1
+        one, other = passage(seed, 100).split(), passage(seed, 100).split()
+        for i in (25, 50, 75):
+            other[i] = f"edit{i}"
+        one, other = " ".join(one), " ".join(other)
+        if (fingerprint(one) ^ fingerprint(other)).bit_count() <= 4:
+            assert len(shingles(one) & shingles(other)) < 0.8 * len(shingles(one) | shingles(other))
+            pairs += [(one, other)]
+    texts = [t for pair in pairs for t in pair] + [passage(2000 + i, 100) for i in range(20)] + [None, ""]
+    got = pipeline.near_copies_out(spark, frame(spark, texts), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2, 4, *range(6, 27)]
+
+
 def test_passages_are_gone(stages):
     from .test_suffixes import brute
 
