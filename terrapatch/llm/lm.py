@@ -21,7 +21,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
-from collections import Counter, deque
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -101,98 +101,175 @@ class Model:
         return np.where(dist >= 0, self.p["d"][np.maximum(dist, 0)], np.float32(-1e4))
 
     def attend(self, x: np.ndarray):
-        """x: windows of inputs, each of which looks back (causally). Returns the attention, what it gathers, and its parts."""
+        """x: windows of inputs, each of which looks back (causally). Returns what each gathers, the sum of its weights, and (first query, behind the last, weights before they are divided by the sum) of the earlier and the later half of queries, which alone sees the later half of keys; and the parts."""
         t = x.shape[1]
-        q, k, v = (self.p[name].take(x, 0) for name in "qkv")
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += self.bias(t, t)
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return s, np.matmul(s, v), q, k, v
-
-    def members(self, h: np.ndarray, group: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows in the order of their groups, where each group begins, and the logits of the group's classes in that order."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        sorted_ = h.take(order, 0)
-        z = np.empty((len(h), MEMBERS), self.p["m"].dtype) if out is None else out[: len(h)]
+        q, k = (self.p[name].take(x, 0) for name in "qk")
+        v = np.concatenate([self.p["v"], np.ones((len(self.p["v"]), 1), self.p["v"].dtype)], 1).take(x, 0)  # the last column holds the sums
+        bias, g, halves = self.bias(t, t), np.empty(v.shape, v.dtype), []
+        for a, b in ((0, t // 2), (t // 2, t)):
+            for clip in (False, True):
+                s = np.matmul(q[:, a:b], k[:, :b].transpose(0, 2, 1))
+                s += bias[a:b, :b]
+                if clip:
+                    np.minimum(s, 60, out=s)
+                with np.errstate(over="ignore"):
+                    np.exp(s, out=s)
+                g[:, a:b] = np.matmul(s, v[:, :b])
+                if a == b or g[:, a:b, -1].max() < np.exp(60):
+                    break
+            halves.append((a, b, s))
+        return g[:, :, :-1] / g[:, :, -1:], g[:, :, -1:], halves, q, k, v
+
+    def members(self, sorted_: np.ndarray, group: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where each group begins among rows in the order of their groups, and the logits of the group's classes."""
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+        z = np.empty((len(sorted_), MEMBERS), self.p["m"].dtype) if out is None else out[: len(sorted_)]
         for g in range(GROUPS):
             a, b = edges[g], edges[g + 1]
             if a < b:
                 np.matmul(sorted_[a:b], self.p["m"][g], out=z[a:b])
-        return order, edges, z
-
-    def step(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, logs: np.ndarray | None = None) -> tuple[float, dict]:
-        """Loss and gradients over whole windows; the log probability of each class is added to logs."""
-        s, g, q, k, v = self.attend(x)
-        n, flat = y.size, y.ravel()
-        h = np.concatenate([g, self.p["c"].take(x, 0), self.p["l"].take(before, 0), np.ones((*x.shape, 1), np.float32)], -1).reshape(n, -1)
-        group, member = flat // MEMBERS, flat % MEMBERS
+        return edges, z
+
+    def slopes(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, logs: np.ndarray | None = None) -> tuple[float, dict, list]:
+        """Loss and gradients over whole windows, of tables as (names, rows, gradients of these rows side by side); the log probability of each class is added to logs."""
+        g, sums, halves, q, k, v = self.attend(x)
+        n, kind = y.size, g.dtype
+        group, member = np.divmod(y.ravel().astype(np.int32), MEMBERS)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        h = np.empty((n, DA + DC + DP + 1), kind)
+        h[:, :DA] = g.reshape(n, DA).take(order, 0)
+        h[:, DA : DA + DC] = self.p["c"].take(x.ravel().take(order), 0)
+        h[:, DA + DC : -1] = self.p["l"].take(before.ravel().take(order), 0)
+        h[:, -1] = 1
         z = h @ self.p["g"]
-        order, edges, y2 = self.members(h, group)
-        loss, rows = 0.0, np.arange(n)
-        for part, goal, at in ((z, group, rows), (y2, member[order], order)):
-            part -= part.max(1, keepdims=True) if np.ptp(part) > 60 else part.max()
+        edges, y2 = self.members(h, group)
+        loss, hits = 0.0, np.zeros(n)
+        for part, goal in ((z, group), (y2, member)):
+            high, low = part.max(), part.min()
+            if high > 60 or low < -60:
+                part -= part.max(1, keepdims=True) if high - low > 60 else high
             np.exp(part, out=part)
-            part /= (part @ np.ones(part.shape[1], part.dtype))[:, None]
-            hit = np.log(part[rows, goal] + 1e-12)
+            part *= (1 / (n * (part @ np.ones(part.shape[1], kind))))[:, None]
+            at = np.arange(0, part.size, part.shape[1]) + goal.take(order)
+            own = part.ravel().take(at)
+            hit = np.log(own * kind.type(n) + kind.type(1e-12))
             loss -= float(hit.mean())
-            if logs is not None:
-                logs[at] += hit
-            part[rows, goal] -= 1
-            part /= n
-        grad = {"g": h.T @ z, "m": np.zeros_like(self.p["m"])}
-        dh = z @ self.p["g"].T
-        for i in range(GROUPS):
-            at = order[edges[i] : edges[i + 1]]
-            if len(at):
-                d = y2[edges[i] : edges[i + 1]]
-                grad["m"][i] = h[at].T @ d
-                dh[at] += d @ self.p["m"][i].T
-        da, dc, dp = dh[:, :DA].reshape(g.shape), dh[:, DA : DA + DC], dh[:, DA + DC : -1]
-        ds = np.matmul(da, v.transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", da, g)[:, :, None]
-        ds *= s
-        dv, dq, dk = np.matmul(s.transpose(0, 2, 1), da), np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        total, t = ds.sum(0), x.shape[1]
+            hits += hit
+            part.ravel()[at] = own - kind.type(1 / n)
+        if logs is not None:
+            logs[order] += hits
+        dense = {"g": h.T @ z, "m": np.zeros_like(self.p["m"])}
+        dh = z @ self.p["g"][:-1].T
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b:
+                np.matmul(h[a:b].T, y2[a:b], out=dense["m"][i])
+                dh[a:b] += y2[a:b] @ self.p["m"][i, :-1].T
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        dh = dh.take(back, 0).reshape(*x.shape, DA + DC + DP)
+        # through the softmax of the attention: its sums divide once, in the last column stands what each row takes off
+        da = np.empty(v.shape, kind)
+        np.divide(dh[:, :, :DA], sums, out=da[:, :, :DA])
+        da[:, :, DA] = -np.einsum("ijk,ijk->ij", da[:, :, :DA], g)
+        d = np.zeros((*x.shape, 3 * DA + DC), kind)
+        t = x.shape[1]
+        total = np.zeros((t, t), kind)
+        for a, b, s in halves:
+            if a < b:
+                d[:, :b, 2 * DA : 3 * DA] += np.matmul(s.transpose(0, 2, 1), da[:, a:b, :DA])
+                s *= np.matmul(da[:, a:b], v[:, :b].transpose(0, 2, 1))
+                np.matmul(s, k[:, :b], out=d[:, a:b, :DA])
+                d[:, :b, DA : 2 * DA] += np.matmul(s.transpose(0, 2, 1), q[:, a:b])
+                total[a:b, :b] = (np.ones(len(s), kind) @ s.reshape(len(s), -1)).reshape(b - a, b)
+        d[:, :, 3 * DA :] = dh[:, :, DA : DA + DC]
         dist = np.arange(t)[:, None] - np.arange(t)[None, :]
-        grad["d"] = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, total, 0).ravel(), CONTEXT + SCORED).astype(np.float32)
-        for names, at, d in (("qkvc", x, (dq, dk, dv, dc)), ("l", before, (dp,))):
-            order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
-            row = at.ravel()[order]
+        dense["d"] = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, total, 0).ravel(), CONTEXT + SCORED).astype(kind)
+        tables = []
+        for names, at, e in (("qkvc", x, d), ("l", before, dh[:, :, DA + DC :])):
+            row = at.ravel().astype(np.uint16)
+            order = np.argsort(row, kind="stable")
+            row = row.take(order)
             first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            total = np.add.reduceat(np.concatenate([e.reshape(n, -1) for e in d], 1).take(order, 0), first)
-            for name, part in zip(names, np.split(total, np.cumsum([e.shape[-1] for e in d])[:-1], 1), strict=True):
+            pairs = e.reshape(n, -1).take(order, 0).view(np.result_type(kind, np.complex64))  # two columns in one sum
+            tables.append((names, row[first].astype(np.int64), np.add.reduceat(pairs, first).view(kind)))
+        return loss, dense, tables
+
+    def step(self, x: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+        """Loss and gradients over whole windows."""
+        loss, grad, tables = self.slopes(x, before, y)
+        for names, rows, total in tables:
+            for name, part in zip(names, np.split(total, np.cumsum([self.p[x].shape[1] for x in names])[:-1], 1), strict=True):
                 grad[name] = np.zeros_like(self.p[name])
-                grad[name][row[first]] = part
+                grad[name][rows] = part
         return loss, grad
 
 
 class Adam:
-    """Steps down the gradient of a model."""
+    """Steps down the gradient of a model. A row of a table that a step's windows do not hold waits: what its means would have moved it by meanwhile is made up for when it is met again, or by settle()."""
+
+    #: What is left of the means after as many steps, and what all steps until then have moved a row that waits, in units of the last one.
+    LEFT = tuple(np.power(share, np.arange(4096)).astype(np.float32) for share in (0.9, 0.99))
+    LATE = np.concatenate([[0, 0], np.cumsum(np.power(0.9 / 0.99**0.5, np.arange(1, 4095)))]).astype(np.float32)
 
     def __init__(self, model: Model):
-        self.model, self.t = model, 0
-        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+        self.model, self.t, self.rate = model, 0, 0.0
+        self.mean = {k: np.zeros((2, *model.p[k].shape), np.float32) for k in "gmd"}
+        self.mean |= {names: np.zeros((2, len(model.p[names[0]]), sum(model.p[k].shape[1] for k in names)), np.float32) for names in ("qkvc", "l")}
+        self.met = {names: np.zeros(len(self.mean[names][0]), np.int64) for names in ("qkvc", "l")}
 
     def step(self, rate: float, x: np.ndarray, before: np.ndarray, y: np.ndarray, logs: np.ndarray | None = None) -> None:
-        _, grad = self.model.step(x, before, y, logs)
+        _, dense, tables = self.model.slopes(x, before, y, logs)
         self.t += 1
         rate *= min(1.0, self.t / 20)
-        rate *= np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k, g in grad.items():
-            m1, m2 = self.m1[k], self.m2[k]
+        self.rate = np.float32(rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
+        for k, g in dense.items():
+            m1, m2 = self.mean[k]
             m1 *= np.float32(0.9)
-            m1 += np.float32(0.1) * g
-            np.multiply(g, g, out=g)
             m2 *= np.float32(0.99)
-            m2 += np.float32(0.01) * g
-            np.sqrt(m2, out=g)
-            g += np.float32(1e-8)
-            np.divide(m1, g, out=g)
-            g *= np.float32(rate)
-            self.model.p[k] -= g
+            self.model.p[k] -= self.moved(g, m1, m2)
+        for names, rows, g in tables:
+            change, m1, m2 = self.late(names, rows)
+            change += self.moved(g, m1, m2)
+            self.mean[names][0, rows], self.mean[names][1, rows] = m1, m2
+            self.move(names, rows, change)
+
+    def late(self, names: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What these rows have not moved by since they were met, and their means by now."""
+        gap = np.minimum(self.t - self.met[names][rows], 4095)[:, None]
+        self.met[names][rows] = self.t
+        m1, m2 = (m.take(rows, 0) for m in self.mean[names])
+        change = np.sqrt(m2)
+        change += np.float32(1e-8)
+        np.divide(m1, change, out=change)
+        change *= self.LATE[gap] * self.rate
+        m1 *= self.LEFT[0][gap]
+        m2 *= self.LEFT[1][gap]
+        return change, m1, m2
+
+    def move(self, names: str, rows: np.ndarray, change: np.ndarray) -> None:
+        at = 0
+        for k in names:
+            width = self.model.p[k].shape[1]
+            self.model.p[k][rows] -= change[:, at : at + width]
+            at += width
+
+    def settle(self) -> None:
+        """Move every row by what it waits for; no step follows."""
+        self.t += 1
+        for names, met in self.met.items():
+            rows = np.arange(len(met))
+            self.move(names, rows, self.late(names, rows)[0])
+
+    def moved(self, g: np.ndarray, m1: np.ndarray, m2: np.ndarray) -> np.ndarray:
+        """The change that takes the place of the gradient g, which enters the means."""
+        m1 += np.float32(0.1) * g
+        np.multiply(g, g, out=g)
+        m2 += np.float32(0.01) * g
+        np.sqrt(m2, out=g)
+        g += np.float32(1e-8)
+        np.divide(m1, g, out=g)
+        g *= self.rate
+        return g
 
 
 def inputs(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, cls: np.ndarray, last: int) -> np.ndarray:
@@ -223,6 +300,7 @@ def training(scorer: Scorer, streams):
             logs = np.zeros(part[0].size)
             adam.step(PASS_RATE * part[0].size / (width * BATCH), *part, logs)
             yield logs
+    adam.settle()
 
 
 def trained_on(scorer: Scorer, streams) -> int:
@@ -252,11 +330,15 @@ def fitted(cells: np.ndarray) -> np.ndarray:
     return weights
 
 
+def sliced(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Slices of data as an array of bytes."""
+    raw = data[words.gathered(start, size)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
 def spelled(e: Encoded, w: np.ndarray) -> pa.Array:
     """The words of these numbers, as bytes."""
-    size = e.size[w]
-    raw = e.buf[words.gathered(e.bounds[w] + 1, size)]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    return sliced(e.buf, e.bounds[w] + 1, e.size[w])
 
 
 def added(batches):
@@ -525,17 +607,20 @@ class Scorer:
                     np.minimum(s, 60, out=s)
                 np.exp(s, out=s)
                 g = np.matmul(s, values.take(inside, 0))  # the last column holds the sums
-                np.divide(g[:, :, :DA].reshape(m, DA), g[:, :, DA:].reshape(m, 1), out=h[:m, :DA])
-                h[:m, DA : DA + DC] = p["c"].take(ask.ravel(), 0)
-                h[:m, DA + DC : -1] = p["l"].take(before.take(own), 0)
                 group, member = np.divmod(goal.take(own), MEMBERS)
-                order, _, z = self.model.members(h[:m], group, space)
-                log = _chosen(h[:m] @ p["g"], group, row[:m])
-                log[order] += _chosen(z, member.take(order), row[:m])
+                order = np.argsort(group.astype(np.uint8), kind="stable")  # rows stand in the order of their groups
+                g = g.reshape(m, DA + 1).take(order, 0)
+                np.divide(g[:, :DA], g[:, DA:], out=h[:m, :DA])
+                h[:m, DA : DA + DC] = p["c"].take(ask.ravel().take(order), 0)
+                own = own.take(order)
+                h[:m, DA + DC : -1] = p["l"].take(before.take(own), 0)
+                z = self.model.members(h[:m], group, space)[1]
+                log = _chosen(h[:m] @ p["g"], group.take(order), row[:m])
+                log += _chosen(z, member.take(order), row[:m])
                 if whole:
                     out[own] = log
                 else:
-                    use = valid[:, CONTEXT:].ravel()
+                    use = valid[:, CONTEXT:].ravel().take(order)
                     out[own[use]] = log[use]
         return out + self.inner[ids]
 
@@ -564,6 +649,7 @@ def trained(ids: np.ndarray, bounds: np.ndarray, size: int, counts: np.ndarray,
         for a in range(0, len(starts), BATCH):
             at = np.minimum(starts[a : a + BATCH, None] + np.arange(width), len(ids) - 1)
             adam.step(0.02 * (1 - 0.9 * (adam.t + 1) / total), x[at], before[at], y[at])
+    adam.settle()
     return Scorer(model, cls, inner, table)
 
 
@@ -614,9 +700,11 @@ def word_counts(docs: DataFrame, column: str = "text", keep: int = 400_000) -> D
     """(word, n) over all texts, in lower case; the empty word stands for the end of a text."""
 
     def count(batches):
-        held: Counter = Counter()
-        ends = 0
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        held, size, ends = [], 0, 0
+
+        def together():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         for batch in batches:
             data, offs = common.texts(batch, 0)
             ends += len(offs) - 1
@@ -624,14 +712,16 @@ def word_counts(docs: DataFrame, column: str = "text", keep: int = 400_000) -> D
                 part = words.lowered(data[bounds[0] : bounds[-1]])
                 start, end, _ = words.split_blank(part, bounds)
                 head, name = words.distinct(part, start, end)
-                raw, n = part.tobytes(), np.bincount(name, minlength=len(head))
-                for a, b, k in zip(start[head].tolist(), end[head].tolist(), n.tolist(), strict=True):
-                    held[raw[a:b]] += k
-                if len(held) > keep:
-                    yield flush()
-                    held = Counter()
-        held[b""] += ends
-        yield flush()
+                held.append(pa.table({"word": sliced(part, start[head], (end - start)[head]), "n": np.bincount(name, minlength=len(head))}))
+                size += max(len(head), held[-1].nbytes // 64)
+                if size > 2 * keep:
+                    held = [together()]
+                    size = max(len(held[0]), held[0].nbytes // 64)
+                    if size > keep:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        held.append(pa.table({"word": pa.array([b""], pa.binary()), "n": [ends]}))
+        yield from together().to_batches()
 
     return docs.select(column).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 

@@ -300,3 +300,38 @@ def test_neighbours_are_counted_over_all_texts(spark, monkeypatch):
             if rank[b] >= 0:
                 want[a * 2 * lm.SINGLE + lm.SINGLE + int(rank[b])] += k
     assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want
+
+
+def test_a_step_moves_its_own_rows_only_and_none_is_lost():
+    """Rows of the tables that a step's windows do not hold wait, and end where plain Adam takes them; half of the queries meet half of the keys only."""
+    r = np.random.default_rng(5)
+    model = lm.Model()
+    plain, adam = {k: v.astype(np.float64) for k, v in model.p.items()}, lm.Adam(model)
+    adam.t, rate = 5000, 0.004  # the rate stays the same
+    means = {k: [np.zeros(v.shape), np.zeros(v.shape)] for k, v in plain.items()}
+    for i in range(40):
+        x, before, y = r.integers(0, 30, (3, 4, lm.CONTEXT + lm.SCORED))
+        if i % 7:
+            x, before = x // 2, before // 2  # every other row waits
+        _, grad = model.step(x, before, y)
+        old = model.p["q"].copy()
+        adam.step(rate, x, before, y)
+        assert set(np.flatnonzero((model.p["q"] != old).any(1))) <= set(x.ravel().tolist())
+        for k, g in grad.items():
+            m1, m2 = means[k]
+            m1 += 0.1 * (g - m1)
+            m2 += 0.01 * (g.astype(np.float64) ** 2 - m2)
+            plain[k] -= rate * m1 / (np.sqrt(m2) + 1e-8)
+    adam.settle()
+    for k, v in plain.items():
+        assert np.abs(model.p[k] - v).max() < 0.01 * max(np.abs(v - lm.Model().p[k]).max(), 1e-9), k
+    halves = model.attend(x)[2]
+    assert sum(s[0].size for _, _, s in halves) == 3 * (lm.CONTEXT + lm.SCORED) ** 2 // 4
+
+
+def test_words_are_added_up_whenever_many_are_held(spark):
+    """Against a plain loop, whether a partition hands on its counts once or many times."""
+    texts = [*(f"{chained(i, 50)} {passage(i, 30)} LAST" for i in range(50)), None, "", "x" * 5000]
+    want = Counter(w.encode() if w else b"" for t in texts for w in words_of(t))
+    for keep in (10, 10**6):
+        assert {bytes(r["word"]): r["n"] for r in lm.word_counts(frame(spark, texts).repartition(2), keep=keep).collect()} == want
