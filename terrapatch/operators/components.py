@@ -5,73 +5,160 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapatch.operators.shared import written
+from terrapatch.operators.shared import shares, written
 
 #: Kinds of rows that the tile kernel returns.
 PART, CORE, ADJACENT, SEAM, MAP, RIM = range(6)
 #: Seams of one raster up to which its graph is solved in one task, in bounded memory; larger ones go by rounds.
 AT_ONCE = 1 << 20
 ROW = "kind int, class_val int, a long, b long, c long, d long, e long"
+#: Rows that a task takes up at a time at least, and cells of an array in which it lays out small rasters.
+AT_A_TIME, STACK = 1 << 16, 1 << 18
 
 
-def labelled(code: np.ndarray, eight: bool) -> np.ndarray:
-    """Index of the first cell of each cell's component (cells of code 0: their own): roots hook to smaller roots until nothing moves."""
-    h, w = code.shape
-    at = np.arange(h * w).reshape(h, w)
-    pairs = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1, :], np.s_[1:, :])]
-    if eight:
-        pairs += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
-    ends = [(at[x][same], at[y][same]) for x, y in pairs if (same := (code[x] == code[y]) & (code[x] > 0)).any()]
-    root = np.arange(h * w)
-    if not ends:
-        return root.reshape(h, w)
-    i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
+def hooked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least node of each node's component in a graph of n nodes with edges i-j: roots hook to smaller roots until nothing moves."""
+    root = np.arange(n)
     while len(i):
         a, b = root[i], root[j]
         open_ = a != b
         i, j, a, b = i[open_], j[open_], a[open_], b[open_]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-    return root.reshape(h, w)
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
+def labelled(code: np.ndarray, eight: bool) -> np.ndarray:
+    """Index of the first cell of each cell's component (cells of code 0: their own). Nodes of the graph are the runs of one code along a row."""
+    h, w = code.shape
+    begins = np.ones((h, w), bool)
+    begins[:, 1:] = (code[:, 1:] != code[:, :-1]) | (code[:, 1:] == 0)
+    run = (np.cumsum(begins.ravel()) - 1).reshape(h, w)
+    first = np.flatnonzero(begins.ravel())
+    pairs = [(np.s_[:-1, :], np.s_[1:, :])]
+    if eight:
+        pairs += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+    ends = []
+    for x, y in pairs:
+        same = (code[x] == code[y]) & (code[x] > 0)
+        i, j = run[x][same], run[y][same]
+        if len(i):  # two runs that touch do so along many cells in a row
+            fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            ends.append((i[fresh], j[fresh]))
+    i, j = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.empty(0, np.int64),) * 2
+    return first[hooked(len(first), i, j)][run]
+
+
+def whole_groups(frames, by: list[str], rows: int = AT_A_TIME):
+    """(table, starts of its groups) from Arrow batches sorted by the columns `by`: many whole groups at a time, so that the work on each is not paid for alone. Holds `rows` rows, or twice the largest group."""
+    import pyarrow as pa
+
+    def starts(table):
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in by:  # codes, in which NULL and NaN equal themselves
+            at = table[c].combine_chunks().dictionary_encode("encode")
+            at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).indices.to_numpy(zero_copy_only=False)
+            new[1:] |= at[1:] != at[:-1]
+        return np.flatnonzero(new)
+
+    held, n, need = [], 0, rows
+    for batch in frames:
+        held.append(batch)
+        n += batch.num_rows
+        if n < need or not n:
+            continue
+        table = pa.Table.from_batches(held)
+        at = starts(table)
+        if at[-1]:
+            yield table.slice(0, at[-1]), at[:-1]
+        held, n = table.slice(at[-1]).to_batches(), table.num_rows - int(at[-1])
+        need = max(rows, 2 * n)
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
+
 
+def stacks(high: np.ndarray, wide: np.ndarray, gap: int):
+    """Groups of rectangles of like widths; a group's rectangles, one below the other with `gap` around, fill no more than STACK cells unless one does."""
+    order = np.argsort(wide, kind="stable")
+    begin, tall = 0, 0
+    for k, g in enumerate(order):
+        more = int(high[g]) + 2 * gap
+        if k > begin and (tall + more) * (int(wide[g]) + 2 * gap) > STACK:
+            yield order[begin:k]
+            begin, tall = k, 0
+        tall += more
+    if begin < len(order):
+        yield order[begin:]
 
-def tile_rows(pdf: pd.DataFrame, tr: int, tc: int, tile: int, eight: bool, depth: int, rim: bool) -> pd.DataFrame:
-    """All rows of one tile from its cells and those around it, `depth` deep (one at least)."""
+
+def tile_rows(starts, rows, cols, values, tr, tc, tile: int, eight: bool, depth: int, rim: bool):
+    """All rows of many tiles, as (tile, kind, class_val, a, b, c, d, e), from their cells and those around them, `depth` deep (one at least). Tiles begin at `starts`; tr and tc are their places."""
+    halo = max(depth, 1)
+    size = np.diff(np.append(starts, len(rows)))
+    of = np.repeat(np.arange(len(starts)), size)
+    # the part of each tile that holds its cells
+    r0, r1 = np.maximum(np.minimum.reduceat(rows, starts), tr * tile), np.minimum(np.maximum.reduceat(rows, starts), tr * tile + tile - 1) + 1
+    c0, c1 = np.maximum(np.minimum.reduceat(cols, starts), tc * tile), np.minimum(np.maximum.reduceat(cols, starts), tc * tile + tile - 1) + 1
+    some = np.flatnonzero((r1 > r0) & (c1 > c0))
+    classes, number = np.unique(values, return_inverse=True)
+    out: list[tuple] = []
+    for group in stacks((r1 - r0)[some], (c1 - c0)[some], halo):
+        group = some[group]
+        place = np.full(len(starts), -1)
+        place[group] = np.arange(len(group))
+        at = place[of]
+        near = (at >= 0) & (rows >= r0[of] - halo) & (rows < r1[of] + halo) & (cols >= c0[of] - halo) & (cols < c1[of] + halo)
+        _stack_rows(out, group, at[near], rows[near], cols[near], number[near] + 1, classes, r0[group], r1[group], c0[group], c1[group], tr[group], tc[group], tile, eight, depth, rim)
+    if not out:
+        return [np.empty(0, np.int64)] * 8
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _stack_rows(out, group, at, rows, cols, codes, classes, r0, r1, c0, c1, tr, tc, tile, eight, depth, rim):
+    """Of tiles that lie one below the other in one array, each with its halo, so that none touches the next."""
     halo = max(depth, 1)
-    rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    # the part of the tile that holds its cells, and the halo around that
-    r0, r1 = max(int(rows.min()), tr * tile), min(int(rows.max()), tr * tile + tile - 1) + 1
-    c0, c1 = max(int(cols.min()), tc * tile), min(int(cols.max()), tc * tile + tile - 1) + 1
-    high, wide = max(r1 - r0, 0), max(c1 - c0, 0)
-    if not high or not wide:
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("kind", "class_val", "a", "b", "c", "d", "e")})
-    top, left = r0 - halo, c0 - halo
-    classes, number = np.unique(pdf["class_val"].to_numpy(), return_inverse=True)
-    code = np.zeros((high + 2 * halo, wide + 2 * halo), np.int64)
-    near = (rows >= top) & (rows < r1 + halo) & (cols >= left) & (cols < c1 + halo)
-    code[rows[near] - top, cols[near] - left] = number[near] + 1
-    shift = lambda dr, dc, x=code: x[halo + dr : halo + high + dr, halo + dc : halo + wide + dc]
-    own = shift(0, 0)
+    high = r1 - r0 + 2 * halo
+    base = np.cumsum(high) - high
+    tall, width = int(high.sum()), int((c1 - c0).max()) + 2 * halo
+    code = np.zeros((tall, width), np.int64)
+    code[base[at] + rows - r0[at] + halo, cols - c0[at] + halo] = codes
+    tile_of = np.repeat(np.arange(len(group)), high)
+    row = np.arange(tall) - base[tile_of] + r0[tile_of] - halo
+    col = np.arange(width)[None, :] + (c0[tile_of] - halo)[:, None]
+    inside = ((row >= r0[tile_of]) & (row < r1[tile_of]))[:, None] & (col >= c0[tile_of][:, None]) & (col < c1[tile_of][:, None])
+    # the outermost rows and columns are halo and may go
+    mid = np.s_[1:-1, 1:-1]
+    shift = lambda dr, dc, x=code: x[1 + dr : tall - 1 + dr, 1 + dc : width - 1 + dc]
+    own = np.where(inside, code, 0)[mid]
     here = own > 0
-    cell = ((np.arange(high) + r0)[:, None] << 32) + (np.arange(wide) + c0)[None, :]
+    tile_of, row, col = tile_of[1:-1], row[1:-1], col[mid]
+    cell = (row[:, None] << 32) + col
+    cells = cell.ravel()
+    owner = np.broadcast_to(tile_of[:, None], own.shape)
     around = {(dr, dc): shift(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc}
-    flat = lambda root: cell.ravel()[root]
     name = classes[np.maximum(own, 1) - 1]
-    out: list[dict] = []
 
-    def add(kind, class_val, a, b=0, c=0, d=0, e=0):
-        if len(a):
-            out.append(pd.DataFrame({"kind": kind, "class_val": class_val, "a": a, "b": b, "c": c, "d": d, "e": e}))
+    def add(kind, tiles, class_val, a, b=0, c=0, d=0, e=0):
+        n = len(a)
+        if n:
+            out.append(tuple(np.broadcast_to(np.asarray(x, np.int64), n) for x in (group[tiles], kind, class_val, a, b, c, d, e)))
+
+    def firsts(root, mine):
+        """Indices of the components' first cells, and for each cell of `mine` the number of its component."""
+        flat = root.ravel()
+        is_first = (flat == np.arange(flat.size)) & mine.ravel()
+        return np.flatnonzero(is_first), (np.cumsum(is_first) - 1)[root[mine]]
 
     # sides: a neighbour across is of another class or there is none
     ns = (around[-1, 0] != own).astype(np.int64) + (around[1, 0] != own)
     ew = (around[0, -1] != own).astype(np.int64) + (around[0, 1] != own)
-    # cells that stay after `depth` erosions by the 4-cross
+    # cells that stay after `depth` erosions by the 4-cross; what tiles above and below do to the halo does not reach the tile
     core = code.copy()
     for _ in range(depth):
         grown = np.zeros_like(core)
@@ -79,47 +166,74 @@ def tile_rows(pdf: pd.DataFrame, tr: int, tc: int, tile: int, eight: bool, depth
         keep = (inner > 0) & (core[:-2, 1:-1] == inner) & (core[2:, 1:-1] == inner) & (core[1:-1, :-2] == inner) & (core[1:-1, 2:] == inner)
         grown[1:-1, 1:-1] = np.where(keep, inner, 0)
         core = grown
-    core = shift(0, 0, core)
+    core = np.where(inside, core, 0)[mid]
     root = labelled(own, eight)
-    local, at = np.unique(root[here], return_inverse=True)
-    sums = lambda x: np.bincount(at, x[here], len(local)).astype(np.int64)
-    add(PART, name.ravel()[local], flat(local), np.bincount(at, minlength=len(local)), sums(ns), sums(ew), sums(core > 0))
+    local, number = firsts(root, here)
+    sums = lambda x: np.bincount(number, x[here], len(local)).astype(np.int64)
+    add(PART, owner.ravel()[local], name.ravel()[local], cells[local], np.bincount(number, minlength=len(local)), sums(ns), sums(ew), sums(core > 0))
+    kinds = len(classes) + 1
     for direction, steps in ((0, ((0, -1), (0, 1))), (1, ((-1, 0), (1, 0)))):
-        both = np.concatenate([np.stack([own[ok], around[s][ok]]) for s in steps for ok in [here & (around[s] > 0)]], 1)
-        pair, n = np.unique(both, axis=1, return_counts=True)
-        add(ADJACENT, classes[pair[0] - 1], classes[pair[1] - 1].astype(np.int64), direction, n)
+        pair = np.concatenate([(owner[ok] * kinds + own[ok]) * kinds + around[s][ok] for s in steps for ok in [here & (around[s] > 0)]])
+        pair, n = np.unique(pair, return_counts=True)
+        add(ADJACENT, pair // kinds**2, classes[pair // kinds % kinds - 1], classes[pair % kinds - 1], direction, n)
     layers = [(0, own, root)]
     if (core > 0).any():
         core_root = labelled(core, eight)
-        inside = core > 0
-        locals_, n = np.unique(core_root[inside], return_counts=True)
-        add(CORE, name.ravel()[locals_], flat(locals_), flat(root.ravel()[locals_]), n)
+        locals_, number = firsts(core_root, core > 0)
+        add(CORE, owner.ravel()[locals_], name.ravel()[locals_], cells[locals_], cells[root.ravel()[locals_]], np.bincount(number, minlength=len(locals_)))
         layers.append((1, core, core_root))
     # the rows and columns that touch the next tiles
-    first_row, last_row = (np.arange(high) + r0 == r for r in (tr * tile, tr * tile + tile - 1))
-    first_col, last_col = (np.arange(wide) + c0 == c for c in (tc * tile, tc * tile + tile - 1))
-    edge = first_row[:, None] | first_col[None, :] | last_col[None, :]
+    top, left = (tr * tile)[tile_of], (tc * tile)[tile_of][:, None]
+    first_row, last_row = row == top, row == top + tile - 1
+    first_col, last_col = col == left, col == left + tile - 1
+    edge = first_row[:, None] | first_col | last_col
     for layer, mine, root_ in layers:
         on = edge & (mine > 0)
-        add(MAP, name[on], cell[on], flat(root_[on]), layer)
+        add(MAP, owner[on], name[on], cell[on], cells[root_[on]], layer)
         for dr, dc in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if eight else ())):
-            out_of = np.zeros((high, wide), bool)
+            out_of = np.zeros(own.shape, bool)
             if dr:
                 out_of[last_row, :] = True
             if dc > 0:
-                out_of[:, last_col] = True
+                out_of |= last_col
             if dc < 0:
-                out_of[:, first_col] = True
+                out_of |= first_col
             # whether the cell beyond is core is known in its own tile, whose MAP rows hold core cells only
             met = out_of & (mine > 0) & (around[dr, dc] == mine)
-            add(SEAM, name[met], flat(root_[met]), cell[met] + (dr << 32) + dc, layer)
+            add(SEAM, owner[met], name[met], cells[root_[met]], cell[met] + (dr << 32) + dc, layer)
     if rim:
         inner = here.copy()
         for s in around if eight else ((-1, 0), (1, 0), (0, -1), (0, 1)):
             inner &= around[s] == own
         on = here & ~inner
-        add(RIM, name[on], cell[on], flat(root[on]))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("kind", "class_val", "a", "b", "c", "d", "e")})
+        add(RIM, owner[on], name[on], cell[on], cells[root[on]])
+
+
+def in_groups(df: DataFrame, keys: list[str], more: list[str], run, columns: str, rows: int) -> DataFrame:
+    """As groupBy(keys, more).applyInPandas over `rows` rows, but for many groups at a time: run(table, starts) returns for each row of the result where its group starts, and its columns, all integers."""
+    n = shares(df.sparkSession, rows)
+    kind = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), columns])
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = {"int": np.int32, "long": np.int64}
+    of = [types[c.split()[1]] for c in columns.split(", ")]
+
+    def each(frames):
+        import pyarrow as pa
+
+        for table, starts in whole_groups(frames, [*keys, *more]):
+            first, *found = run(table, starts)
+            if len(first):
+                out = {k: table[k].combine_chunks().take(pa.array(first)) for k in keys}
+                yield from pa.table({**out, **{c: pa.array(x.astype(t)) for c, x, t in zip(names, found, of, strict=True)}}).to_batches(max_chunksize=AT_A_TIME)
+
+    # as many tasks as the session has for shuffles at least: little input is much work here, which must not meet in one task
+    return df.repartition(n, *keys, *more).sortWithinPartitions(*keys, *more).mapInArrow(each, kind)
+
+
+def numbers(table, *names: str) -> list[np.ndarray]:
+    if any(table[c].null_count for c in names):
+        raise ValueError(f"{names} cannot be NULL")
+    return [table[c].to_numpy().astype(np.int64) for c in names]
 
 
 def tiles(cells: DataFrame, keys: list[str], tile: int, eight: bool, depth: int, rim: bool) -> DataFrame:
@@ -129,18 +243,13 @@ def tiles(cells: DataFrame, keys: list[str], tile: int, eight: bool, depth: int,
         raise ValueError("edge_depth must be less than the tile")
     over = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + F.lit(d)) / F.lit(tile)).cast("int") for d in (-halo, 0, halo))))
     dealt = cells.select(*keys, "row", "col", "class_val", F.explode(over("row")).alias("tile_r")).withColumn("tile_c", F.explode(over("col")))
-    n = len(keys)
-    kind = ", ".join([*(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys), ROW])
 
-    def run(key, pdf):
-        rows = tile_rows(pdf, int(key[n]), int(key[n + 1]), tile, eight, depth, rim)
-        for i, k in enumerate(keys):
-            rows.insert(i, k, key[i])
-        return rows
+    def run(table, starts):
+        rows, cols, values, tr, tc = numbers(table, "row", "col", "class_val", "tile_r", "tile_c")
+        of, *found = tile_rows(starts, rows, cols, values, tr[starts], tc[starts], tile, eight, depth, rim)
+        return starts[of], *found
 
-    # as many tasks as the session has for shuffles: little input is much work here, which must not meet in one task
-    dealt = dealt.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "tile_r", "tile_c")
-    return dealt.groupBy(*keys, "tile_r", "tile_c").applyInPandas(run, kind)
+    return in_groups(dealt, keys, ["tile_r", "tile_c"], run, ROW, cells.count())
 
 
 def merged(rows: DataFrame, keys: list[str], layer: int) -> DataFrame | None:
@@ -157,27 +266,23 @@ def merged(rows: DataFrame, keys: list[str], layer: int) -> DataFrame | None:
 
 
 def components_at_once(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """As components(), for graphs of at most AT_ONCE edges in each raster: a task each."""
-    n = len(keys)
-
-    def run(key, pdf):
-        node, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
-        root = np.arange(len(node))
-        i, j = at[: len(pdf)], at[len(pdf) :]
-        while len(i):
-            a, b = root[i], root[j]
-            open_ = a != b
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-        up = root < np.arange(len(node))
-        out = pd.DataFrame({"u": node[up], "v": node[root[up]]})
-        for k in range(n):
-            out.insert(k, keys[k], key[k])
-        return out
-
-    return written(edges.groupBy(*keys).applyInPandas(run, edges.schema), "stars")
+    """As components(), for graphs of at most AT_ONCE edges in each raster: many rasters at a time."""
+
+    def run(table, starts):
+        u, v = numbers(table, "u", "v")
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
+        of, node = np.concatenate([of, of]), np.concatenate([u, v])
+        order = np.lexsort((node, of))
+        of, node = of[order], node[order]
+        fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (node[1:] != node[:-1])])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(fresh) - 1
+        of, node = of[fresh], node[fresh]
+        root = hooked(len(node), at[: len(u)], at[len(u) :])
+        up = np.flatnonzero(root < np.arange(len(node)))
+        return starts[of[up]], node[up], node[root[up]]
+
+    return written(in_groups(edges, keys, [], run, "u long, v long", edges.count()), "stars")
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one task.
+ROWS = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors reach: the session's. Only where all run on one machine may it be unset, and is a new one then."""
@@ -24,3 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shares(spark: SparkSession, rows: int) -> int:
+    """Tasks over which so many rows are dealt: the session's for shuffles, and more where a task had over ROWS rows, so that its memory does not grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))

@@ -58,6 +58,7 @@ class Landscape:
             keep &= value != nodata
         self._cells = cells.where(keep).select(*inner, F.col("row").cast("int"), F.col("col").cast("int"), value.cast("int").alias("class_val"))
         self._base: dict = {}
+        self._once: DataFrame | None = None  # the cells as written: what they come from may be a join
 
     @property
     def cells(self) -> DataFrame:
@@ -85,7 +86,9 @@ class Landscape:
         for (kept, with_rim), df in self._base.items():
             if kept == depth and (with_rim or not rim):
                 return df
-        found = C.tiles(self._cells, self._k, self.tile, self.rule == "8", depth, rim)
+        if self._once is None:
+            self._once = written(self._cells, "cells")
+        found = C.tiles(self._once, self._k, self.tile, self.rule == "8", depth, rim)
         self._base[depth, rim] = found = written(found, "tiles")
         return found
 

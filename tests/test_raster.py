@@ -366,3 +366,28 @@ def test_many_polygons_equal_the_even_odd_rule(spark):
                     want.add((name, r, c))
     assert got == want and len(want) > 1000
     assert Z.by_polygons(cells, frame, []).collect() == []
+
+
+def test_many_small_rasters_go_through_the_kernel_at_a_time(spark):
+    """Rasters of all sizes in one call of the kernel, under keys that include NaN and names; none touches another."""
+    import pyarrow as pa
+
+    from terrapatch.operators import components as C
+
+    rng = np.random.default_rng(9)
+    keys = [*(float(i) for i in range(40)), math.nan]
+    rasters = [rng.integers(0, 3, (rng.integers(1, 12), rng.integers(1, 12))) for _ in keys]
+    rasters[3], rasters[4] = np.ones((1, 70), int), np.ones((70, 1), int)
+    cells = [(k, r, c, int(v[r, c])) for k, v in zip(keys, rasters, strict=True) for r in range(v.shape[0]) for c in range(v.shape[1]) if v[r, c]]
+    table = pa.table(dict(zip(("k", "row", "col", "v"), map(list, zip(*cells, strict=True)), strict=True)))
+    for size in (10, 1 << 16):  # groups that go on in the next batch, and all in one
+        found = list(C.whole_groups(table.to_batches(max_chunksize=7), ["k"], size))
+        assert sum(t.num_rows for t, _ in found) == len(cells)
+        for t, starts in found:
+            k = t["k"].to_pylist()
+            assert len({str(k[i]) for i in starts}) == len(starts) == len({str(x) for x in k})
+    [(t, starts)] = found
+    assert len(starts) > 35
+    got = Landscape(spark.createDataFrame([(str(k), *x) for k, *x in cells], "k string, row int, col int, class_val int"), (1, 1), ["k"], tile=16).patches(1, enn=True)
+    rows = sorted(tuple(r) for r in got.select("k", "class_val", "patch", "n", "ns", "ew", "core", "cores", "squared").collect())
+    assert rows == sorted((str(k), *p) for k, v in zip(keys, rasters, strict=True) for p in brute(v))
