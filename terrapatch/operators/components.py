@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapatch import settings
 from terrapatch.operators.shared import shares, written
 
 #: Kinds of rows that the tile kernel returns.
@@ -310,16 +311,99 @@ def named(rows: DataFrame, keys: list[str], column: str, merges: DataFrame | Non
 
 
 def nearest(rim: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, patch, squared): least squared distance in cells from each patch to another of its class, over rim cells (keys, class_val, row, col, patch).
+    """(keys, patch, squared): least squared distance in cells from each patch to another of its class, over rim cells (keys, class_val, row, col, patch). Classes of one patch have no row.
+
+    Rasters no larger than a tile are laid out in arrays, many at a time; of larger ones, cells meet by buckets.
+    """
+    rim = written(rim, "rim")
+    span = lambda c: F.max(c).cast("long") - F.min(c) >= settings.TILE
+    large = written(rim.groupBy(*keys).agg((span("row") | span("col")).alias("large")).where("large").select(*keys), "large")
+    if large.isEmpty():
+        return nearest_at_once(rim, keys)
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
+    large = large.select(*(F.col(k).alias(f"{k}_") for k in keys))
+    return nearest_at_once(rim.join(large, on, "left_anti"), keys).unionByName(nearest_by_buckets(rim.join(large, on, "left_semi"), keys))
+
+
+#: Offsets of cells that are tried one by one, by their squared length: those of length 1 join cells of one patch.
+OFFSETS = sorted((r * r + c * c, r, c) for r in range(-8, 9) for c in range(-8, 9) if 2 <= r * r + c * c <= 64)
+
+
+def least_squared(starts: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: np.ndarray, patches: np.ndarray):
+    """(raster, patch, squared) of the patches whose class has another in their raster, from the rim cells of many rasters that begin at `starts`."""
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    order = np.lexsort((patches, classes, of))  # a class's patches are next to each other
+    of, rows, cols, classes, patches = (x[order] for x in (of, rows, cols, classes, patches))
+    new_class = np.concatenate([[True], (of[1:] != of[:-1]) | (classes[1:] != classes[:-1])])
+    new = new_class | np.concatenate([[True], patches[1:] != patches[:-1]])
+    patch, group = np.cumsum(new) - 1, np.cumsum(new_class) - 1
+    of_patch, class_of, name = of[new], group[new], patches[new]
+    begin = np.append(np.flatnonzero(new), len(rows))
+    open_ = np.bincount(class_of)[class_of] > 1
+    squared = np.full(len(name), -1)
+    top, left = (np.full(len(starts), np.iinfo(np.int64).max) for _ in range(2))
+    low, right = -top, -left
+    for least, most, x in ((top, low, rows), (left, right, cols)):
+        np.minimum.at(least, of, x)
+        np.maximum.at(most, of, x)
+    gap = 8
+    for stack in stacks(low - top + 1, right - left + 1, gap):
+        place = np.full(len(starts), -1)
+        place[stack] = np.arange(len(stack))
+        high = (low - top)[stack] + 1 + 2 * gap
+        width = int((right - left)[stack].max()) + 1 + 2 * gap
+        cell = np.flatnonzero(place[of] >= 0)
+        where = ((np.cumsum(high) - high)[place[of[cell]]] + rows[cell] - top[of[cell]] + gap) * width + cols[cell] - left[of[cell]] + gap
+        there = np.full(int(high.sum()) * width, -1)
+        there[where] = patch[cell]
+        class_at = np.append(class_of, -1)  # of no patch
+        last = 0
+        for d, r, c in OFFSETS:
+            if d > last:
+                left_over = open_[patch[cell]]
+                cell, where, last = cell[left_over], where[left_over], d
+                if not len(cell):
+                    break
+                mine, kind = patch[cell], class_of[patch[cell]]
+            other = there[where + r * width + c]
+            hit = mine[(class_at[other] == kind) & (other != mine)]
+            squared[hit] = d
+            open_[hit] = False
+    # patches that lie alone meet all cells of their class
+    class_begin = np.append(np.flatnonzero(new_class), len(rows))
+    for p in np.flatnonzero(open_):
+        b, e = class_begin[class_of[p]], class_begin[class_of[p] + 1]
+        other = np.concatenate([np.arange(b, begin[p]), np.arange(begin[p + 1], e)])
+        step = max(1, STACK // len(other))
+        for i in range(begin[p], begin[p + 1], step):
+            own = np.s_[i : min(i + step, begin[p + 1]), None]
+            d = ((rows[own] - rows[other]) ** 2 + (cols[own] - cols[other]) ** 2).min()
+            squared[p] = d if squared[p] < 0 else min(squared[p], d)
+    found = squared >= 0
+    return of_patch[found], name[found], squared[found]
+
+
+def nearest_at_once(rim: DataFrame, keys: list[str]) -> DataFrame:
+    """As nearest(), for rasters no larger than a tile."""
+
+    def run(table, starts):
+        of, *found = least_squared(starts, *numbers(table, "row", "col", "class_val", "patch"))
+        return starts[of], *found
+
+    return in_groups(rim, keys, [], run, "patch long, squared long", rim.count())
+
+
+def nearest_by_buckets(rim: DataFrame, keys: list[str]) -> DataFrame:
+    """As nearest(), for rasters of any size.
 
     Cells meet others of their own and the eight adjacent buckets, unless those hold no other patch, so that a patch
     that lies alone does not meet itself; a distance within the buckets' side is final, and patches without one go on
-    with buckets four times as large. Classes of one patch have no row.
+    with buckets four times as large.
     """
     group = [*keys, "class_val"]
     several = rim.groupBy(*group).agg(F.min("patch").alias("x"), F.max("patch").alias("y")).where("x <> y").select(*group)
     rim = written(rim.join(several, group), "rim")
-    left, out, side = rim, [], 4
+    left, out, side, cells = rim, [], 4, rim.count()
     reach = rim.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
     reach = max(reach[0] or 0, reach[1] or 0) + 1
     while True:
@@ -331,9 +415,13 @@ def nearest(rim: DataFrame, keys: list[str]) -> DataFrame:
         held = rim.groupBy(*group, bucket("row").alias("br0"), bucket("col").alias("bc0")).agg(F.min("patch").alias("x"), F.max("patch").alias("y"))
         mixed = around(held).groupBy(*group, F.col("br").alias("br0"), F.col("bc").alias("bc0")).agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").drop("x", "y")
         ask = left.select(*group, "row", "col", "patch", (bucket("row")).alias("br0"), (bucket("col")).alias("bc0"))
-        ask = around(ask.join(mixed, [*group, "br0", "bc0"], "left_semi"))
+        ask = written(ask.join(mixed, [*group, "br0", "bc0"], "left_semi"), "ask")
+        # dealt by their number, as more cells must not make a task larger
+        by = [*group, "br", "bc"]
+        n = shares(rim.sparkSession, 9 * ask.count() + cells)
+        ask, other = around(ask).repartition(n, *by), other.repartition(n, *by)
         d = (F.col("row") - F.col("r2")).cast("long") * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")).cast("long") * (F.col("col") - F.col("c2"))
-        found = ask.join(other, [*group, "br", "bc"]).where("patch <> p2").groupBy(*group, "patch").agg(F.min(d).alias("squared"))
+        found = ask.join(other, by).where("patch <> p2").groupBy(*group, "patch").agg(F.min(d).alias("squared"))
         if side < reach:
             found = found.where(F.col("squared") <= side * side)
         found = written(found, "nearest")

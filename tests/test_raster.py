@@ -391,3 +391,31 @@ def test_many_small_rasters_go_through_the_kernel_at_a_time(spark):
     got = Landscape(spark.createDataFrame([(str(k), *x) for k, *x in cells], "k string, row int, col int, class_val int"), (1, 1), ["k"], tile=16).patches(1, enn=True)
     rows = sorted(tuple(r) for r in got.select("k", "class_val", "patch", "n", "ns", "ew", "core", "cores", "squared").collect())
     assert rows == sorted((str(k), *p) for k, v in zip(keys, rasters, strict=True) for p in brute(v))
+
+
+def test_nearest_patches_of_small_rasters_at_a_time_and_of_large_ones_by_buckets(spark, monkeypatch):
+    """Both ways equal brute force; the tasks of each grow in number with the cells, so that none grows in memory."""
+    from terrapatch.operators import components as C
+    from terrapatch.operators import shared
+
+    rng = np.random.default_rng(11)
+    rasters = {f"r{i}": np.where(rng.random((rng.integers(1, 9), w)) < p, rng.integers(1, 3, (1, w)), 0) for i, (w, p) in enumerate([(8, 0.5), (6, 0.2), (30, 0.1), (30, 0.02), (40, 0.5), (7, 0.9)])}
+    rasters["far"] = np.zeros((3, 60), int)
+    rasters["far"][1, [0, 3, 59]] = 1
+    cells = spark.createDataFrame([(k, r, c, int(v[r, c])) for k, v in rasters.items() for r, c in np.argwhere(v).tolist()], "k string, row int, col int, class_val int")
+    want = sorted((k, p[1], p[-1]) for k, v in rasters.items() for p in brute(v) if p[-1] is not None)
+    rim = Landscape(cells, (1, 1), ["k"]).rows(1, True).where(F.col("kind") == C.RIM).select(F.col("tp_k0").alias("k"), "class_val", F.shiftright("a", 32).cast("int").alias("row"), F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("col"), F.col("b").alias("patch"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("k", "patch", "squared").collect())
+    monkeypatch.setattr(shared, "ROWS", 20)
+    n = rim.count()
+    whole = C.nearest_at_once(rim, ["k"])
+    assert n > 80 and whole.rdd.getNumPartitions() == -(-n // 20) > 4
+    assert rows(whole) == want and rows(C.nearest_by_buckets(rim, ["k"])) == want
+    seen = []
+    by_buckets = C.nearest_by_buckets
+    monkeypatch.setattr(C, "nearest_by_buckets", lambda rim, keys: seen.extend(r.k for r in rim.select("k").distinct().collect()) or by_buckets(rim, keys))
+    monkeypatch.setattr(settings, "TILE", 20)
+    assert rows(C.nearest(rim, ["k"])) == want and set(seen) == {k for k, v in rasters.items() if np.ptp(np.nonzero(v)[1]) >= 20}
+    seen.clear()
+    monkeypatch.setattr(settings, "TILE", 256)
+    assert rows(C.nearest(rim, ["k"])) == want and not seen
