@@ -419,3 +419,16 @@ def test_nearest_patches_of_small_rasters_at_a_time_and_of_large_ones_by_buckets
     seen.clear()
     monkeypatch.setattr(settings, "TILE", 256)
     assert rows(C.nearest(rim, ["k"])) == want and not seen
+
+
+@pytest.mark.parametrize("name", ["class_euclidean_nearest_neighbor_distribution"])
+def test_registered_zones_need_no_buckets(spark, monkeypatch, name):
+    """Zones smaller than a tile are solved in arrays, though tiles cut some of them."""
+    from terrapatch import registered
+    from terrapatch.operators import components as C
+
+    def never(*args, **kwargs):
+        raise AssertionError("cells met by buckets")
+
+    monkeypatch.setattr(C, "nearest_by_buckets", never)
+    assert registered.QUERIES[name](spark, "/root/testdata/sf0.001").columns[0] == "grid_cell"
