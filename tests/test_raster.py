@@ -421,7 +421,7 @@ def test_nearest_patches_of_small_rasters_at_a_time_and_of_large_ones_by_buckets
     assert rows(C.nearest(rim, ["k"])) == want and not seen
 
 
-@pytest.mark.parametrize("name", ["class_euclidean_nearest_neighbor_distribution", "class_metrics_df", "landscape_euclidean_nearest_neighbor_distribution", "landscape_metrics_df"])
+@pytest.mark.parametrize("name", ["class_euclidean_nearest_neighbor_distribution", "class_metrics_df", "landscape_euclidean_nearest_neighbor_distribution", "landscape_metrics_df", "patch_metrics_df"])
 def test_registered_zones_need_no_buckets(spark, monkeypatch, name):
     """Zones smaller than a tile are solved in arrays, though tiles cut some of them."""
     from terrapatch import registered
